@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point Spark at the shared folder named by spark.checkpoint.dir; only where it is unset, at a scratch folder."""
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; only where it is unset, a scratch folder of this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get(CHECKPOINT_KEY)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return context.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise df in the checkpoint folder and drop its lineage, so a lost executor costs one read, not a recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back.
+
+    The plan that made it is gone, so a lost executor costs a read and no recomputation, iterations keep small plans, and
+    later joins know the table's size.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, once nothing lazy reads it any more."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("cut-"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
