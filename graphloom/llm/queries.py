@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.groups import connected_groups
+from graphloom.llm.tokenizer import encode_texts, round_trip
 from graphloom.llm.vectors import similar_pairs
 from graphloom.sources.tables import table
 
@@ -19,7 +20,15 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return connected_groups(edges, "src", "dst", by=["edge_type"])
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
+    return encode_texts(table(spark, directory, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    return round_trip(table(spark, directory, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
 SQL = {
     "p1_found": """with raw as (
