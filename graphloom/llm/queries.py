@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.groups import connected_groups
 from graphloom.llm.leaks import leaked_items
+from graphloom.llm.names import same_name_pairs
 from graphloom.llm.sentences import sentence_units
 from graphloom.llm.tokenizer import encode_texts, round_trip
 from graphloom.llm.vectors import similar_pairs
@@ -17,6 +18,10 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return similar_pairs(table(spark, directory, "fact_embeddings"))
 
 
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    return same_name_pairs(table(spark, directory, "extracted_entities"))
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     edges = table(spark, directory, "edge_mutations").where(F.col("edge_type").isin("MERGED_INTO", "SUPERSEDES"))
     return connected_groups(edges, "src", "dst", by=["edge_type"])
@@ -38,7 +43,7 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return sentence_units(table(spark, directory, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL = {
     "p1_found": """with raw as (

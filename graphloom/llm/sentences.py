@@ -314,8 +314,8 @@ def document_counts(texts: list[str | None], model: EventModel | None) -> dict[i
             chances = model.posteriors(run) if model else [g.seed for g in run]
             for g, p in zip(run, chances):
                 kind, left, right, pair, shape = _features(g)
-                # After an abbreviation the left word explains the event; the right word's own odds are learnt elsewhere.
-                own = () if g.left in SEED_ABBREVIATIONS or len(g.left) == 1 else (*right, *shape)
+                # A number after an abbreviation is explained by it; the odds of numbers are learnt elsewhere.
+                own = () if g.shape.startswith("digit") and (g.left in SEED_ABBREVIATIONS or len(g.left) == 1) else (*right, *shape)
                 for bucket in chain(kind, left, pair, own, _bucket("t")):
                     counts[bucket][0] += p
                     counts[bucket][1] += 1 - p
