@@ -67,6 +67,17 @@ CODE = regex.compile(
 QUOTES = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "‘": "’"}
 
 
+QUOTING = regex.compile("[" + regex.escape("".join({*QUOTES, *QUOTES.values(), '"', "'"})) + "]")
+
+
+GREEK = regex.compile(r"\p{Greek}")
+TIGHT = regex.compile(rf"[{regex.escape(OPENERS)}]*\p{{L}}")
+LOWER, UPPER = regex.compile(r"\p{Ll}+"), regex.compile(r"\p{Lu}+")
+MARKS = regex.compile(r"[{}\[\]<>=|\\~^$#@_*/]")
+LINES = regex.compile(r"(?<=\n)")
+BREAK = regex.compile(r"\r?\n")
+
+
 @dataclass
 class Gap:
     """A place where a sentence may end: after `end`, with its n-gram features."""
@@ -84,7 +95,7 @@ def code_like(line: str) -> bool:
     """Whether a line is code or data rather than prose."""
     if CODE.match(line):
         return True
-    marks = len(regex.findall(r"[{}\[\]<>=|\\~^$#@_*/]", line))
+    marks = len(MARKS.findall(line))
     return marks >= 6 and marks > 0.12 * len(line)
 
 
@@ -95,7 +106,7 @@ def paragraphs(text: str) -> list[tuple[int, int, bool]]:
     for gap in [*BLANK.finditer(text), None]:
         stop = gap.start() if gap else len(text)
         start, line_at = at, at
-        for line in regex.split(r"(?<=\n)", text[at:stop]):
+        for line in LINES.split(text[at:stop]):
             here = line_at
             line_at += len(line)
             bare = line.rstrip("\r\n")
@@ -115,9 +126,16 @@ def paragraphs(text: str) -> list[tuple[int, int, bool]]:
 def quoted(text: str, prefix: int = 0) -> list[tuple[int, int, bool]]:
     """(start, end, first) of quotations and brackets; `first` if one opens a sentence."""
     spans, stack, straight = [], [], {}
-    before = lambda i: text[:i].rstrip()[-1:]
-    opens = lambda i: not text[prefix:i].strip() or before(i) in ".!?…。！？।؟>" or (before(i) in CLOSERS and len(text[:i].rstrip()) > 1 and text[:i].rstrip()[-2] in ".!?…。！？।؟")
-    for i, c in enumerate(text):
+
+    def opens(i: int) -> bool:
+        """Whether position i begins a sentence: after the label, or after a sentence mark with or without a closer."""
+        earlier = text[max(prefix, i - 12) : i].rstrip()
+        if not earlier:
+            return not text[prefix:i].strip()
+        return earlier[-1] in ".!?…。！？।؟>" or (earlier[-1] in CLOSERS and earlier[-2:-1] in tuple(".!?…。！？।؟"))
+
+    for m in QUOTING.finditer(text):
+        i, c = m.start(), m[0]
         if c == '"' or (c == "'" and (i == 0 or not text[i - 1].isalnum() or c in straight) and not (i and i + 1 < len(text) and text[i - 1].isalnum() and text[i + 1].isalnum())):
             if c in straight:
                 j = straight.pop(c)
@@ -148,35 +166,37 @@ def _prefix(text: str) -> int:
 def gaps(text: str, cased: bool) -> list[Gap]:
     """Candidate gaps of one paragraph in order."""
     prefix = _prefix(text)
-    spans = quoted(text, prefix)
+    spans = sorted(quoted(text, prefix))
     out: list[Gap] = []
     marks = list(END.finditer(text, prefix))
-    greek = bool(regex.search(r"\p{Greek}", text))
+    greek = bool(GREEK.search(text))
     for m in marks:
         mark = m["mark"] or ""
         if ";" in mark and not greek:
             continue
-        if set(mark) == {";"} and greek and m.start() and not regex.match(r"\p{Greek}", text[m.start() - 1]):
+        if set(mark) == {";"} and greek and m.start() and not GREEK.match(text[m.start() - 1]):
             continue
         end = m.end()
-        inside = any(a < m.start() and end < b for a, b, _ in spans)
+        inside = any(a < m.start() and end < b for a, b, _ in spans) if spans else False
         if inside:
             continue
-        closed = next(((a, first) for a, b, first in sorted(spans) if a < m.start() < b <= end + 1), None)
+        closed = next(((a, first) for a, b, first in spans if a < m.start() < b <= end + 1), None)
         spaced = end >= len(text) or text[end].isspace()
-        after = text[end:]
-        wide = bool(mark and mark[0] in "。！？｡") or bool(WIDE.match(after[:1]))
+        after = text[end : end + 80].lstrip("\r\n") if text[end : end + 80].strip() else text[end:]
+        raw = text[end : end + 4]
+        wide = bool(mark and mark[0] in "。！？｡") or bool(WIDE.match(raw[:1]))
         if not after.strip():
             continue
         if not spaced and not wide:
-            if m["only"] or not regex.match(rf"[{regex.escape(OPENERS)}]*\p{{L}}", after):
+            if m["only"] or not TIGHT.match(after):
                 continue
-            left_word = LEFT.search(text[: m.start()])
+            left_word = LEFT.search(text[max(0, m.start() - 40) : m.start()])
             if not left_word or len(left_word[0]) < 3 or "." in left_word[0] or after[0] in CLOSERS:
                 continue
-        left = LEFT.search(text[: m.start("mark") if mark else m.start()].rstrip() if not mark else text[: m.start()])
+        here = text[max(0, m.start() - 40) : m.start()]
+        left = LEFT.search(here if mark else here.rstrip())
         a = left[0].lower() if left else ""
-        r = RIGHT.match(after.lstrip("\r\n"))
+        r = RIGHT.match(after)
         b = r[1] if r else after.strip()[:1]
         if WIDE.search(a):
             a = a[-2:]
@@ -184,7 +204,7 @@ def gaps(text: str, cased: bool) -> list[Gap]:
             b = b[:2]
         b = "#" if b[:1].isdigit() else b
         if a.isdigit():
-            earlier = LEFT.search(text[: left.start()].rstrip(" .\xa0"))
+            earlier = LEFT.search(here[: left.start()].rstrip(" .\xa0"))
             a = f"{earlier[0].lower() if earlier else ''} #"
         shape = "digit" if b == "#" else "lower" if b[:1].islower() else "upper" if b[:1].isupper() else "other"
         if not cased and shape in ("lower", "upper"):
@@ -203,7 +223,7 @@ def gaps(text: str, cased: bool) -> list[Gap]:
             a = left[-4:] if UNSPACED.match(left[-1:]) else ("#" if left[-1:].isdigit() else "latin")
             b = right if UNSPACED.match(right) else ("#" if right[:1].isdigit() else "latin")
             out.append(Gap(m.start(), a, b, "space", "other", 0.9 if left.endswith(SEED_FINALS) and UNSPACED.match(right) else 0.05))
-        for m in regex.finditer(r"\r?\n", text):
+        for m in BREAK.finditer(text):
             left, right = text[max(prefix, m.start() - 12) : m.start()], text[m.end() : m.end() + 4]
             if UNSPACED.match(left[-1:]) and right:
                 b = right if UNSPACED.match(right) else ("#" if right[:1].isdigit() else "latin")
@@ -251,11 +271,14 @@ class EventModel:
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.rows = counts.tolist()
         self.total = counts[_bucket("t")[0]] + 1.0
 
     def _odds(self, places: tuple[int, int], prior: float, weight: float) -> float:
         """log P(boundary)/P(none) of a feature with `weight` pseudo counts at the prior log odds."""
-        yes, no = min((self.counts[i] for i in places), key=sum)
+        (yes, no), (yes2, no2) = self.rows[places[0]], self.rows[places[1]]
+        if yes2 + no2 < yes + no:
+            yes, no = yes2, no2
         p = 1 / (1 + math.exp(-max(-20.0, min(20.0, prior))))
         return math.log((yes + weight * p + 1e-6) / (no + weight * (1 - p) + 1e-6))
 
@@ -298,7 +321,7 @@ class EventModel:
 def _cased(text: str) -> bool:
     """Whether letter case tells anything in this text."""
     bare = text[_prefix(text) :]
-    low, up = len(regex.findall(r"\p{Ll}", bare)), len(regex.findall(r"\p{Lu}", bare))
+    low, up = len(bare) - len(LOWER.sub("", bare)), len(bare) - len(UPPER.sub("", bare))
     return low > 0 and 0.005 * low < up < low
 
 
