@@ -149,8 +149,9 @@ def idempotent(batch: DataFrame, ledger: DataFrame, key: str, content: Sequence[
     old = ledger.select(key, F.col("digest").alias("_old"))
     both = own.join(old, key, "left")
     clash = (F.col("_n") > 1) | (F.col("_old") != F.col("digest"))
-    checked = both.withColumn("_bad", F.when(F.coalesce(clash, F.lit(False)), F.raise_error(F.concat(F.lit("idempotency key used for other content: "), F.col(key)))))
-    fresh = checked.where("_old is null and _bad is null").select("_row.*")
+    # One condition decides and raises, so no optimisation can skip the check.
+    bad = F.raise_error(F.concat(F.lit("idempotency key used for other content: "), F.col(key))).cast("boolean")
+    fresh = both.where(F.when(F.coalesce(clash, F.lit(False)), bad).otherwise(F.col("_old").isNull())).select("_row.*")
     return fresh.unionByName(batch.where(F.col(key).isNull()))
 
 
@@ -166,8 +167,9 @@ def import_new(table: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     known = table.select(key, F.struct(*other).alias("_old"))
     both = new.join(known, key, "left")
     clash = F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.struct(*other))
-    checked = both.withColumn("_bad", F.when(clash, F.raise_error(F.concat(F.lit("already there with other content: "), F.col(key).cast("string")))))
-    return _union(table, checked.where("_old is null and _bad is null").select(*table.columns))
+    bad = F.raise_error(F.concat(F.lit("already there with other content: "), F.col(key).cast("string"))).cast("boolean")
+    fresh = both.where(F.when(clash, bad).otherwise(F.col("_old").isNull()))
+    return _union(table, fresh.select(*table.columns))
 
 
 def outcome(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
