@@ -247,7 +247,7 @@ def _seed(a: str, b: str, kind: str, shape: str, after: str) -> float:
     if kind.startswith("emoji"):
         return 0.9
     if kind[0] == "." and (a in SEED_ABBREVIATIONS or (len(a) == 1 and a.isalpha())):
-        return 0.5 if a in SEED_ENDERS and len(a) > 1 else 0.05
+        return (0.7 if shape == "upper" else 0.4) if a in SEED_ENDERS and len(a) > 1 else 0.05
     if kind[0] == "." and a.endswith(" #"):
         return 0.03 if b.lower() in SEED_AFTER_ORDINAL else 0.7
     if kind.startswith("dots"):
@@ -262,8 +262,15 @@ def _bucket(*parts: str) -> tuple[int, int]:
 
 
 def _features(g: Gap) -> tuple[tuple[int, int], ...]:
-    """Places of: kind, left word with kind, right word, both words, shape with kind."""
-    return (_bucket("k", g.kind), _bucket("l", g.left, g.kind[0]), _bucket("r", g.right, g.shape[-5:]), _bucket("p", g.left, g.right, g.kind, g.shape[-5:]), _bucket("s", g.kind, g.shape))
+    """Places of: kind, left word with kind, right word, left word with the right one's shape, both words, shape with kind."""
+    return (
+        _bucket("k", g.kind),
+        _bucket("l", g.left, g.kind[0]),
+        _bucket("r", g.right, g.shape[-5:], "." if g.kind[0] == "." else "!"),
+        _bucket("ls", g.left, g.kind[0], g.shape),
+        _bucket("p", g.left, g.right, g.kind, g.shape[-5:]),
+        _bucket("s", g.kind, g.shape),
+    )
 
 
 class EventModel:
@@ -283,15 +290,16 @@ class EventModel:
         return math.log((yes + weight * p + 1e-6) / (no + weight * (1 - p) + 1e-6))
 
     def log_odds(self, g: Gap) -> float:
-        kind, left, right, pair, shape = _features(g)
+        kind, left, right, left_shape, pair, shape = _features(g)
         base = math.log(self.total[0] / self.total[1])
         by_kind = self._odds(kind, base, 2)
         # P(event | left word) backs off to the kind of mark; the right word's ratio backs off to its shape.
         by_left = self._odds(left, by_kind, 4)
         by_shape = self._odds(shape, by_kind, 2) - by_kind
         by_right = self._odds(right, base + by_shape, 4) - base
-        joint = by_left + max(-2.5, min(6.0, by_right))
-        return self._odds(pair, joint, 6)
+        joint = by_left + max(-1.5, min(6.0, by_right))
+        # The left word before such a shape, then before this very word, where they were seen often enough.
+        return self._odds(pair, self._odds(left_shape, joint, 8), 6)
 
     def posteriors(self, run: list[Gap]) -> list[float]:
         """Forward-backward over a paragraph's gaps; two boundaries around a single word are unlikely."""
@@ -336,10 +344,10 @@ def document_counts(texts: list[str | None], model: EventModel | None) -> dict[i
             run = gaps(part, _cased(part) if len(part) > 40 else _cased(text))
             chances = model.posteriors(run) if model else [g.seed for g in run]
             for g, p in zip(run, chances):
-                kind, left, right, pair, shape = _features(g)
+                kind, left, right, left_shape, pair, shape = _features(g)
                 # A number after an abbreviation is explained by it; the odds of numbers are learnt elsewhere.
                 own = () if g.shape.startswith("digit") and (g.left in SEED_ABBREVIATIONS or len(g.left) == 1) else (*right, *shape)
-                for bucket in chain(kind, left, pair, own, _bucket("t")):
+                for bucket in chain(kind, left, left_shape, pair, own, _bucket("t")):
                     counts[bucket][0] += p
                     counts[bucket][1] += 1 - p
     return counts
