@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,17 +237,17 @@ def name_groups(mentions: DataFrame) -> DataFrame:
             rows = []
             for row in frame.itertuples(index=False):
                 words = row.ordered.split()
-                rows += [(row.context_id, k, row.id, fullness(words), row.n) for k in block_keys(words)]
-            yield pd.DataFrame(rows, columns=["context_id", "key", "id", "full", "n"])
+                rows += [(xxhash.xxh64_intdigest(f"{row.context_id}\x1f{k}") - 2**63, row.id, fullness(words), row.n) for k in block_keys(words)]
+            yield pd.DataFrame(rows, columns=["key", "id", "full", "n"])
 
-    keys = forms.mapInPandas(keyed, "context_id string, key string, id bigint, full int, n bigint")
-    shared = keys.groupBy("context_id", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("context_id", "key")
-    keys = cut(keys.join(shared, ["context_id", "key"]))
-    fuller = keys.select("context_id", "key", F.col("id").alias("c"), F.col("full").alias("c_full"), F.col("n").alias("c_n"))
+    keys = forms.mapInPandas(keyed, "key bigint, id bigint, full int, n bigint")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    keys = cut(keys.join(shared, "key"))
+    fuller = keys.select("key", F.col("id").alias("c"), F.col("full").alias("c_full"), F.col("n").alias("c_n"))
     later = F.struct("c_full", "c_n", "c") > F.struct("full", "n", "id")
-    pairs = keys.join(fuller, ["context_id", "key"]).where(later).select("context_id", F.col("id").alias("v"), "c").distinct()
-    side = lambda p: forms.select(F.col("id").alias(p), F.col("ordered").alias(f"{p}_words"), F.col("kind").alias(f"{p}_kind"), F.col("n").alias(f"{p}_n"))
-    pairs = pairs.join(side("v"), "v").join(side("c"), "c")
+    pairs = keys.join(fuller, "key").where(later).select(F.col("id").alias("v"), "c").distinct()
+    side = lambda p: forms.select("context_id", F.col("id").alias(p), F.col("ordered").alias(f"{p}_words"), F.col("kind").alias(f"{p}_kind"), F.col("n").alias(f"{p}_n"))
+    pairs = pairs.join(side("v"), "v").join(side("c"), ["context_id", "c"])
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
