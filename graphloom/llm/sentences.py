@@ -14,17 +14,16 @@ not grow with the corpus.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from graphloom.session import cut
 
 
 BUCKETS = 1 << 19
@@ -261,69 +260,25 @@ def _bucket(*parts: str) -> tuple[int, int]:
     return digest % BUCKETS, BUCKETS + (digest >> 32) % BUCKETS
 
 
-def _features(g: Gap) -> tuple[tuple[int, int], ...]:
+def _features(g: Gap) -> tuple[int, ...]:
     """Places of: kind, left word with kind, right word, left word with the right one's shape, both words, shape with kind."""
+    mark = g.kind[0]
     return (
-        _bucket("k", g.kind),
-        _bucket("l", g.left, g.kind[0]),
-        _bucket("r", g.right, g.shape[-5:], "." if g.kind[0] == "." else "!"),
-        _bucket("ls", g.left, g.kind[0], g.shape),
-        _bucket("p", g.left, g.right, g.kind, g.shape[-5:]),
-        _bucket("s", g.kind, g.shape),
+        *_bucket("k", g.kind),
+        *_bucket("l", g.left, mark),
+        *_bucket("r", g.right, g.shape[-5:], "." if mark == "." else "!"),
+        *_bucket("ls", g.left, mark, g.shape),
+        *_bucket("p", g.left, g.right, g.kind, g.shape[-5:]),
+        *_bucket("s", g.kind, g.shape),
     )
 
 
-class EventModel:
-    """Event odds of a gap from bucketed counts (columns: boundary, none)."""
-
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.rows = counts.tolist()
-        self.total = counts[_bucket("t")[0]] + 1.0
-
-    def _odds(self, places: tuple[int, int], prior: float, weight: float) -> float:
-        """log P(boundary)/P(none) of a feature with `weight` pseudo counts at the prior log odds."""
-        (yes, no), (yes2, no2) = self.rows[places[0]], self.rows[places[1]]
-        if yes2 + no2 < yes + no:
-            yes, no = yes2, no2
-        p = 1 / (1 + math.exp(-max(-20.0, min(20.0, prior))))
-        return math.log((yes + weight * p + 1e-6) / (no + weight * (1 - p) + 1e-6))
-
-    def log_odds(self, g: Gap) -> float:
-        kind, left, right, left_shape, pair, shape = _features(g)
-        base = math.log(self.total[0] / self.total[1])
-        by_kind = self._odds(kind, base, 2)
-        # P(event | left word) backs off to the kind of mark; the right word's ratio backs off to its shape.
-        by_left = self._odds(left, by_kind, 4)
-        by_shape = self._odds(shape, by_kind, 2) - by_kind
-        by_right = self._odds(right, base + by_shape, 4) - base
-        joint = by_left + max(-1.5, min(6.0, by_right))
-        # The left word before such a shape, then before this very word, where they were seen often enough.
-        return self._odds(pair, self._odds(left_shape, joint, 8), 6)
-
-    def posteriors(self, run: list[Gap]) -> list[float]:
-        """Forward-backward over a paragraph's gaps; two boundaries around a single word are unlikely."""
-        if not run:
-            return []
-        emit = [(p := 1 / (1 + math.exp(-max(-30.0, min(30.0, self.log_odds(g))))), 1 - p) for g in run]
-        link = [0.2 if g.words <= 1 and g.kind[0] == "." and len(g.left) <= 3 else 1.0 for g in run]
-        forward = [emit[0]]
-        for e, c in zip(emit[1:], link[1:]):
-            yes, no = forward[-1]
-            f = (e[0] * (yes * c + no), e[1] * (yes + no))
-            z = sum(f) or 1.0
-            forward.append((f[0] / z, f[1] / z))
-        back = (1.0, 1.0)
-        out = [0.0] * len(run)
-        for i in range(len(run) - 1, -1, -1):
-            yes, no = forward[i][0] * back[0], forward[i][1] * back[1]
-            out[i] = yes / ((yes + no) or 1.0)
-            if i:
-                e, c = emit[i], link[i]
-                back = (e[0] * c * back[0] + e[1] * back[1], e[0] * back[0] + e[1] * back[1])
-                z = sum(back) or 1.0
-                back = (back[0] / z, back[1] / z)
-        return out
+#: Columns of a gap's numbers: paragraph, end of the text before it, start of the text after it, whether it leaves a single
+#: short word between itself and the gap before, whether its right word and shape are counted, seed chance, twelve places.
+PARAGRAPH, BEFORE, AFTER, SHORT, OWN, SEED, PLACES = 0, 1, 2, 3, 4, 5, 6
+WIDTH = PLACES + 12
+KIND, LEFT_WORD, RIGHT_WORD, LEFT_SHAPE, PAIR, SHAPE = range(0, 12, 2)
+TOTAL = _bucket("t")
 
 
 def _cased(text: str) -> bool:
@@ -333,95 +288,219 @@ def _cased(text: str) -> bool:
     return low > 0 and 0.005 * low < up < low
 
 
-def document_counts(texts: list[str | None], model: EventModel | None) -> dict[int, list[float]]:
-    """Expected event counts of each feature bucket; by seed rules where there is no model yet."""
-    counts: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for text in texts:
-        for start, end, whole in paragraphs(text or ""):
-            if whole:
-                continue
-            part = text[start:end]
-            run = gaps(part, _cased(part) if len(part) > 40 else _cased(text))
-            chances = model.posteriors(run) if model else [g.seed for g in run]
-            for g, p in zip(run, chances):
-                kind, left, right, left_shape, pair, shape = _features(g)
-                # A number after an abbreviation is explained by it; the odds of numbers are learnt elsewhere.
-                own = () if g.shape.startswith("digit") and (g.left in SEED_ABBREVIATIONS or len(g.left) == 1) else (*right, *shape)
-                for bucket in chain(kind, left, left_shape, pair, own, _bucket("t")):
-                    counts[bucket][0] += p
-                    counts[bucket][1] += 1 - p
-    return counts
-
-
 def _hidden(c: str) -> bool:
-    return c.isspace() or c in "​‌⁠﻿­\x00"
+    return c.isspace() or c in "\u200b\u200c\u2060\ufeff\xad\x00"
 
 
-def sentences_of(text: str | None, model: EventModel) -> list[tuple[int, int]]:
-    """(start, end) of the sentence units of a text in code points; none for null and blank texts."""
-    out: list[tuple[int, int]] = []
+def numbers_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(start and end of each paragraph's visible text, the gaps' numbers) of a text."""
+    spans: list[tuple[int, int]] = []
+    found: list[tuple[int, ...]] = []
     for start, end, whole in paragraphs(text or ""):
         part = text[start:end]
-        run = [] if whole else gaps(part, _cased(part) if len(part) > 40 else _cased(text))
-        ends = [g.end for g, p in zip(run, model.posteriors(run)) if p >= THRESHOLD]
-        at = 0
-        for stop in [*ends, len(part)]:
-            a, b = at, stop
-            while a < b and _hidden(part[a]):
-                a += 1
-            while b > a and _hidden(part[b - 1]):
-                b -= 1
-            if a < b:
-                out.append((start + a, start + b))
-            at = stop
+        first, last = 0, len(part)
+        while first < last and _hidden(part[first]):
+            first += 1
+        while last > first and _hidden(part[last - 1]):
+            last -= 1
+        if first == last:
+            continue
+        reached = start + first
+        for g in [] if whole else gaps(part, _cased(part) if len(part) > 40 else _cased(text)):
+            before, after = g.end, g.end
+            while before and _hidden(part[before - 1]):
+                before -= 1
+            while after < last and _hidden(part[after]):
+                after += 1
+            if after >= last or start + before <= reached:
+                continue
+            reached = start + after
+            short = g.words <= 1 and g.kind[0] == "." and len(g.left) <= 3
+            # A number after an abbreviation is explained by it; the odds of numbers are learnt elsewhere.
+            own = not (g.shape.startswith("digit") and (g.left in SEED_ABBREVIATIONS or len(g.left) == 1))
+            found.append((len(spans), start + before, start + after, short, own, round(g.seed * 1000), *_features(g)))
+        spans.append((start + first, start + last))
+    return np.array(spans, dtype=np.int32).reshape(-1, 2), np.array(found, dtype=np.int32).reshape(-1, WIDTH)
+
+
+class EventModel:
+    """Event chances of gaps from bucketed counts (columns: boundary, none)."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        yes, no = counts[TOTAL[0]] + 1.0
+        self.base = math.log(yes / no)
+
+    def _odds(self, places: np.ndarray, prior: np.ndarray | float, weight: float) -> np.ndarray:
+        """log P(boundary)/P(none) of features with `weight` pseudo counts at the prior log odds."""
+        one, two = self.counts[places[:, 0]], self.counts[places[:, 1]]
+        seen = np.where((two.sum(1) < one.sum(1))[:, None], two, one).astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(prior, -20, 20)))
+        return np.log((seen[:, 0] + weight * p + 1e-6) / (seen[:, 1] + weight * (1 - p) + 1e-6))
+
+    def log_odds(self, gap_numbers: np.ndarray) -> np.ndarray:
+        at = lambda f: gap_numbers[:, PLACES + f : PLACES + f + 2]
+        by_kind = self._odds(at(KIND), self.base, 2)
+        # P(event | left word) backs off to the kind of mark; the right word's ratio backs off to its shape.
+        by_left = self._odds(at(LEFT_WORD), by_kind, 4)
+        by_shape = self._odds(at(SHAPE), by_kind, 2) - by_kind
+        by_right = self._odds(at(RIGHT_WORD), self.base + by_shape, 4) - self.base
+        joint = by_left + np.clip(by_right, -1.5, 6.0)
+        # The left word before such a shape, then before this very word, where they were seen often enough.
+        return self._odds(at(PAIR), self._odds(at(LEFT_SHAPE), joint, 8), 6)
+
+    def chances(self, gap_numbers: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Posterior chance of a boundary at each gap; `runs` numbers the paragraph of each gap, in order.
+
+        Gaps of a paragraph only depend on one another around a single short word, so only such runs need the pass.
+        """
+        p = 1 / (1 + np.exp(-np.clip(self.log_odds(gap_numbers), -30, 30)))
+        linked = np.unique(runs[gap_numbers[:, SHORT] > 0])
+        for low, high in zip(np.searchsorted(runs, linked, "left"), np.searchsorted(runs, linked, "right")):
+            p[low:high] = forward_backward(p[low:high], np.where(gap_numbers[low:high, SHORT] > 0, 0.2, 1.0))
+        return p
+
+
+def forward_backward(emit: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Posteriors of a chain of two-state events; link[i] weighs two boundaries at i - 1 and i."""
+    forward = [(emit[0], 1 - emit[0])]
+    for e, c in zip(emit[1:], link[1:]):
+        yes, no = forward[-1]
+        f = (e * (yes * c + no), (1 - e) * (yes + no))
+        z = sum(f) or 1.0
+        forward.append((f[0] / z, f[1] / z))
+    out, back = np.empty(len(emit)), (1.0, 1.0)
+    for i in range(len(emit) - 1, -1, -1):
+        yes, no = forward[i][0] * back[0], forward[i][1] * back[1]
+        out[i] = yes / ((yes + no) or 1.0)
+        e, c = emit[i], link[i]
+        back = (e * c * back[0] + (1 - e) * back[1], e * back[0] + (1 - e) * back[1])
+        z = sum(back) or 1.0
+        back = (back[0] / z, back[1] / z)
     return out
 
 
-def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One block of the count table as bytes: 16,384 buckets at most."""
-    block = np.zeros((1 << 14, 2), dtype=np.float32)
-    block[rows["bucket"].to_numpy() & ((1 << 14) - 1)] = rows[["yes", "no"]].to_numpy()
-    return pd.DataFrame({"block": [key[0]], "data": [block.tobytes()]})
+def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(paragraphs, their document's row, gaps, their document's row, their run) of a batch."""
+    spans = [np.frombuffer(b, dtype=np.int32).reshape(-1, 2) for b in frame["spans"]]
+    gaps_of = [np.frombuffer(b, dtype=np.int32).reshape(-1, WIDTH) for b in frame["gaps"]]
+    all_spans = np.concatenate([np.empty((0, 2), np.int32), *spans])
+    all_gaps = np.concatenate([np.empty((0, WIDTH), np.int32), *gaps_of])
+    span_rows = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
+    gap_rows = np.repeat(np.arange(len(gaps_of)), [len(x) for x in gaps_of])
+    firsts = np.concatenate([[0], np.cumsum([len(x) for x in spans])])[:-1]
+    runs = firsts[gap_rows] + all_gaps[:, PARAGRAPH] if len(all_gaps) else np.empty(0, np.int64)
+    return all_spans, span_rows, all_gaps, gap_rows, runs
+
+
+def expected_counts(gap_numbers: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """The count table that gaps with these chances of a boundary give."""
+    places = gap_numbers[:, PLACES:]
+    use = np.ones(places.shape)
+    for f in (RIGHT_WORD, SHAPE):
+        use[:, f : f + 2] = gap_numbers[:, OWN, None]
+    table = np.zeros((2 * BUCKETS, 2))
+    for column, p in ((0, chances), (1, 1 - chances)):
+        table[:, column] = np.bincount(places.ravel(), (use * p[:, None]).ravel(), 2 * BUCKETS)
+        table[list(TOTAL), column] += p.sum()
+    return table
+
+
+BLOCK_BITS = 14
+
+
+def _to_blocks(table: np.ndarray, salt: int) -> pd.DataFrame:
+    """The table's used places as (block, salt, data): data holds offset, boundary, none of each, as float32."""
+    used = np.flatnonzero(table.any(axis=1))
+    blocks = used >> BLOCK_BITS
+    data = np.column_stack([used & ((1 << BLOCK_BITS) - 1), table[used]]).astype(np.float32)
+    cuts = np.flatnonzero(np.diff(blocks)) + 1
+    parts = np.split(data, cuts) if len(used) else []
+    return pd.DataFrame({"block": blocks[np.concatenate([[0], cuts])] if len(used) else [], "salt": [salt] * len(parts), "data": [x.tobytes() for x in parts]}).astype({"block": "int32", "salt": "int32"})
+
+
+def _add_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of one block's parts: 16,384 places at most."""
+    total = np.zeros((1 << BLOCK_BITS, 2))
+    for data in rows["data"]:
+        part = np.frombuffer(data, dtype=np.float32).reshape(-1, 3)
+        np.add.at(total, part[:, 0].astype(np.int64), part[:, 1:])
+    used = np.flatnonzero(total.any(axis=1))
+    data = np.column_stack([used, total[used]]).astype(np.float32)
+    return pd.DataFrame({"block": [key[0]], "salt": [0], "data": [data.tobytes()]}).astype({"block": "int32", "salt": "int32"})
+
+
+def gap_table(documents: DataFrame) -> DataFrame:
+    """doc_id, spans, gaps: the paragraphs and candidate gaps of each text as packed numbers; texts are read once."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            numbers = [numbers_of(t) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": [a.tobytes() for a, _ in numbers], "gaps": [b.tobytes() for _, b in numbers]})
+
+    usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    return usable.mapInPandas(read, "doc_id bigint, spans binary, gaps binary")
 
 
-def fit_events(documents: DataFrame, rounds: int = ROUNDS) -> EventModel:
-    """The model from counts over all documents; what reaches the driver is bounded by BUCKETS (8 MB)."""
-    spark = documents.sparkSession
-    texts = documents.where("text is not null").select("text")
+def fit_events(gap_rows: DataFrame, rounds: int = ROUNDS) -> EventModel:
+    """The model from counts over all rows of gap_table; what reaches the driver is bounded by the table (8 MB)."""
+    spark = gap_rows.sparkSession
     model: EventModel | None = None
     for _ in range(rounds + 1):
         shared = spark.sparkContext.broadcast(model.counts if model else None)
 
         def count(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             known = EventModel(shared.value) if shared.value is not None else None
+            table, some = np.zeros((2 * BUCKETS, 2)), 0
             for frame in frames:
-                got = document_counts(list(frame["text"]), known)
-                yield pd.DataFrame({"bucket": list(got), "yes": [v[0] for v in got.values()], "no": [v[1] for v in got.values()]})
-
-        sums = texts.mapInPandas(count, "bucket int, yes double, no double").groupBy("bucket").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-        packed = sums.withColumn("block", F.shiftright("bucket", 14)).groupBy("block").applyInPandas(_pack, "block int, data binary")
-        table = np.zeros((2 * BUCKETS, 2), dtype=np.float32)
-        for block, data in packed.collect():
-            table[block << 14 : (block + 1) << 14] = np.frombuffer(data, dtype=np.float32).reshape(-1, 2)
-        model = EventModel(table)
+                _, _, numbers, _, runs = _gathered(frame)
+                if len(numbers):
+                    table += expected_counts(numbers, known.chances(numbers, runs) if known else numbers[:, SEED] / 1000)
+                    some += int(numbers[0, PLACES])
+            yield _to_blocks(table, some % 32)
+
+        schema = "block int, salt int, data binary"
+        sums = gap_rows.select("spans", "gaps").mapInPandas(count, schema)
+        sums = sums.groupBy("block", "salt").applyInPandas(_add_blocks, schema).groupBy("block").applyInPandas(_add_blocks, schema)
+        counts = np.zeros((2 * BUCKETS, 2), dtype=np.float32)
+        for block, _, data in sums.collect():
+            part = np.frombuffer(data, dtype=np.float32).reshape(-1, 3)
+            counts[(block << BLOCK_BITS) + part[:, 0].astype(np.int64)] = part[:, 1:]
+        model = EventModel(counts)
     return model
 
 
-def sentence_units(documents: DataFrame, model: EventModel | None = None) -> DataFrame:
+def units_of(frame: pd.DataFrame, model: EventModel) -> pd.DataFrame:
+    """doc_id, start_char, end_char of a batch: each paragraph, cut at the gaps that are boundaries."""
+    spans, span_rows, numbers, gap_rows, runs = _gathered(frame)
+    cuts = model.chances(numbers, runs) >= THRESHOLD if len(numbers) else np.empty(0, bool)
+    rows = np.concatenate([span_rows, gap_rows[cuts]])
+    starts, ends = np.concatenate([spans[:, 0], numbers[cuts, AFTER]]), np.concatenate([spans[:, 1], numbers[cuts, BEFORE]])
+    # Units of a document don't overlap, so its starts and ends pair up in order.
+    by_start, by_end = np.lexsort((starts, rows)), np.lexsort((ends, rows))
+    ids = frame["doc_id"].to_numpy()
+    return pd.DataFrame({"doc_id": ids[rows[by_start]], "start_char": starts[by_start].astype(np.int64), "end_char": ends[by_end].astype(np.int64)})
+
+
+def sentences_of(text: str | None, model: EventModel) -> list[tuple[int, int]]:
+    """(start, end) of the sentence units of one text in code points; none for null and blank texts."""
+    spans, numbers = numbers_of(text)
+    units = units_of(pd.DataFrame({"doc_id": [0], "spans": [spans.tobytes()], "gaps": [numbers.tobytes()]}), model)
+    return list(zip(units["start_char"].tolist(), units["end_char"].tolist()))
+
+
+def sentence_units(documents: DataFrame) -> DataFrame:
     """doc_id, start_char, end_char: one row for each sentence of each document, 0-based code points, end exclusive.
 
-    Null, empty and blank texts give none. Extra columns are ignored. The model is fitted on the same documents if none
-    is given; an empty table gives no rows.
+    Null, empty and blank texts give none. Extra columns are ignored. The model is fitted on the same documents; an empty
+    table gives no rows.
     """
-    model = model or fit_events(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(model.counts)
+    read = cut(gap_table(documents))
+    shared = documents.sparkSession.sparkContext.broadcast(fit_events(read).counts)
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = EventModel(shared.value)
+        model = EventModel(shared.value)
         for frame in frames:
-            rows = [(i, a, b) for i, text in zip(frame["doc_id"], frame["text"]) for a, b in sentences_of(text, known)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"])
+            yield units_of(frame, model)
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(
-        split, "doc_id bigint, start_char bigint, end_char bigint"
-    )
+    return read.mapInPandas(split, "doc_id bigint, start_char bigint, end_char bigint")
