@@ -66,11 +66,6 @@ def changes_since(delta: DataFrame, seq: int) -> DataFrame:
     return delta.where(F.col("seq") > seq)
 
 
-def compacted(delta: DataFrame, low: int) -> DataFrame:
-    """The log without entries up to a low-water mark that a base table already holds."""
-    return delta.where(F.col("seq") > low)
-
-
 def as_events(df: DataFrame, kind: str) -> DataFrame:
     """One JSON text (`value`) for each row: {"event": kind, "data": {...}}, for a line-based sink."""
     return df.select(F.to_json(F.struct(F.lit(kind).alias("event"), F.struct(*df.columns).alias("data"))).alias("value"))

@@ -232,3 +232,28 @@ def test_empty_graph(spark):
     assert rows(bfs(v, none, "T", 2)) == []
     assert rows(paths.simple_paths(none, "T", v, v, max_len=2)) == []
     assert rows(verify.digest(none)) == []
+
+
+def test_resolution_and_manifest(spark):
+    from graphloom.operators import resolution
+
+    m = spark.createDataFrame([("c", "max", 1), ("c", "rex", 2), ("c", "new", 3), ("c", "new", 4), ("d", "max", 5), ("c", None, 6)], "context_id string, surface string, n int")
+    known = spark.createDataFrame([("c", "max", 9), ("c", "max", 7)], "context_id string, surface string, entity_id bigint")
+    alias = spark.createDataFrame([("c", "rex", 8), ("c", "max", 1)], "context_id string, surface string, entity_id bigint")
+    got = {r["n"]: (r["how"], r["entity_id"]) for r in resolution.resolve(m, known, alias).collect()}
+    assert (got[1], got[2], got[6]) == (("exact", 7), ("alias", 8), (None, None))
+    assert got[3] == got[4] and got[3][1] < 0 and got[5][0] == "new" and got[5][1] != got[3][1]
+    store = spark.createDataFrame([(1, "a", True), (2, "b", None)], "id bigint, name string, active boolean")
+    new = spark.createDataFrame([(1, "a", False), (3, "c", True)], "id bigint, name string, active boolean")
+    assert rows(resolution.guarded_manifest(store, new, ["id"], ["active"])) == [(1, "a", False), (2, "b", None), (3, "c", True)]
+    with pytest.raises(Exception, match="immutable"):
+        resolution.guarded_manifest(store, spark.createDataFrame([(1, "z", True)], store.schema), ["id"], ["active"]).collect()
+
+
+def test_property_kinds(spark):
+    from graphloom.operators.resolution import property_kind
+
+    texts = ['{"k": 24}', '{"k": 2.0}', '{"k": 2.5}', '{"k": "x"}', '{"k": true}', '{"k": [1]}', "{}", "broken", None]
+    p = property_kind(F.col("t"), "$.k")
+    got = [(r["kind"], r["text"]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(p["kind"].alias("kind"), p["text"].alias("text")).collect()]
+    assert got == [("int", "24"), ("int", "2"), ("float", "2.5"), ("string", "x"), ("bool", "true"), ("json", "[1]"), (None, None), (None, None), (None, None)]
