@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; on a cluster, use the session that the cluster provides."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,6 +25,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python once for each application, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-package-"), "graphloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("graphloom", os.path.relpath(path, package)))
+    context.addPyFile(archive)
+    context._graphloom_shipped = True
 
 
 def scratch_folder(spark: SparkSession) -> str:
