@@ -253,9 +253,14 @@ def name_groups(mentions: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                cost = channel_cost(r.v_words.split(), r.c_words.split())
-                if cost is None:
-                    continue
+                v_words, c_words = r.v_words.split(), r.c_words.split()
+                cost = channel_cost(v_words, c_words)
+                if cost is None or cost > CUT_SHORT:
+                    # Of two about equally full forms, either may be the one that was meant.
+                    costs = [c for c in (cost, channel_cost(c_words, v_words)) if c is not None]
+                    if not costs:
+                        continue
+                    cost = min(costs)
                 if r.v_kind and r.c_kind and r.v_kind != r.c_kind:
                     cost += OTHER_KIND
                 cost -= 0.5 * math.log(r.c_n)
