@@ -21,11 +21,11 @@ from graphloom.sources.graph import Graph
 class Match:
     """An immutable pattern over one graph; every step returns a new one."""
 
-    def __init__(self, graph: Graph, rows: DataFrame | None = None, nodes: frozenset = frozenset(), hydrated: frozenset = frozenset()):
-        self.graph, self.rows, self.nodes, self.hydrated = graph, rows, nodes, hydrated
+    def __init__(self, graph: Graph, rows: DataFrame | None = None, nodes: frozenset = frozenset(), loaded: frozenset = frozenset()):
+        self.graph, self.rows, self.nodes, self.loaded = graph, rows, nodes, loaded
 
     def _with(self, rows: DataFrame, *nodes: str) -> Match:
-        return Match(self.graph, rows, self.nodes | set(nodes), self.hydrated)
+        return Match(self.graph, rows, self.nodes | set(nodes), self.loaded)
 
     def _vertices(self, labels: tuple[str, ...], properties: dict[str, object]) -> DataFrame:
         found = self.graph.vertices
@@ -98,14 +98,14 @@ class Match:
         small = other.rows.limit(most + 1)
         if small.count() > most:
             raise ValueError(f"the second pattern has more than {most} rows; connect the patterns instead")
-        return Match(self.graph, self.rows.crossJoin(F.broadcast(small)), self.nodes | other.nodes, self.hydrated)
+        return Match(self.graph, self.rows.crossJoin(F.broadcast(small)), self.nodes | other.nodes, self.loaded)
 
     def join(self, other: Match) -> Match:
         """Natural join of two patterns on the nodes they share."""
         shared = sorted(self.nodes & other.nodes)
         if not shared:
             raise ValueError("the patterns share no node")
-        return Match(self.graph, self.rows.join(other.rows, shared), self.nodes | other.nodes, self.hydrated)
+        return Match(self.graph, self.rows.join(other.rows, shared), self.nodes | other.nodes, self.loaded)
 
     def optional(self, step: Callable[[Match], Match]) -> Match:
         """Outer step: rows for which `step` (with its own conditions) finds nothing stay, with nulls for what it binds."""
@@ -115,23 +115,23 @@ class Match:
         other = found.rows.select(*[F.col(f"`{c}`").alias(f"_k_{c}") for c in bound], *[F.col(f"`{c}`") for c in fresh])
         on = reduce(lambda x, y: x & y, [self.rows[c].eqNullSafe(other[f"_k_{c}"]) for c in bound])
         rows = self.rows.join(other, on, "left").drop(*[f"_k_{c}" for c in bound])
-        return Match(self.graph, rows, self.nodes | found.nodes, self.hydrated)
+        return Match(self.graph, rows, self.nodes | found.nodes, self.loaded)
 
-    def hydrate(self, name: str, /, *properties: str) -> Match:
+    def load(self, name: str, /, *properties: str) -> Match:
         """Join vertex properties as columns `name.property`; null where the vertex or property is missing."""
-        missing = [p for p in properties if f"{name}.{p}" not in self.hydrated]
+        missing = [p for p in properties if f"{name}.{p}" not in self.loaded]
         if not missing:
             return self
         columns = self.graph.vertices.select(F.col("id").alias(name), *[F.col(p).alias(f"{name}.{p}") for p in missing])
         rows = self.rows.join(columns, name, "left")
-        return Match(self.graph, rows, self.nodes, self.hydrated | {f"{name}.{p}" for p in missing})
+        return Match(self.graph, rows, self.nodes, self.loaded | {f"{name}.{p}" for p in missing})
 
     def where(self, condition: Column) -> Match:
         """Keep rows for which a two-valued condition holds (a null condition counts as false)."""
         return self._with(self.rows.where(F.coalesce(condition, F.lit(False))))
 
     def returns(self, distinct: bool = False, **columns: Column | str) -> DataFrame:
-        """The projection; strings name nodes or hydrated properties."""
+        """The projection; strings name nodes or loaded properties."""
         rows = self.rows.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
         return rows.distinct() if distinct else rows
 

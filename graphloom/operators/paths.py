@@ -100,7 +100,7 @@ def fair_variants(paths: DataFrame, limit: int) -> DataFrame:
     return turns.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= limit)
 
 
-def hydrate_paths(paths: DataFrame, vertices: DataFrame, properties: list[str]) -> DataFrame:
+def load_paths(paths: DataFrame, vertices: DataFrame, properties: list[str]) -> DataFrame:
     """Paths with `path_nodes`: an array of struct(id, properties...) in order; nulls for vertices without a row."""
     keyed = paths.withColumn("_path", F.xxhash64("source", "target", "nodes", F.to_json("rels")))
     each = keyed.select("_path", "source", F.posexplode("nodes").alias("pos", "id"))

@@ -92,12 +92,12 @@ def s18_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j02_properties(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(order_graph(spark, d)).node("c", "Customer", name="BUILDING").expand("c", "PLACED", "o").hydrate("c", "name", "amount").hydrate("o", "amount")
+    m = Match(order_graph(spark, d)).node("c", "Customer", name="BUILDING").expand("c", "PLACED", "o").load("c", "name", "amount").load("o", "amount")
     return m.returns(c="c", segment="c.name", balance="c.amount", o="o", total="o.amount")
 
 
 def j04_distinct(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(order_graph(spark, d)).node("o", "Order").expand("o", "CONTAINS", "p").hydrate("o", "name").hydrate("p", "name")
+    m = Match(order_graph(spark, d)).node("o", "Order").expand("o", "CONTAINS", "p").load("o", "name").load("p", "name")
     return m.returns(distinct=True, status="o.name", brand="p.name")
 
 

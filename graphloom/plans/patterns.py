@@ -12,8 +12,8 @@ from graphloom.sources.graph import memory_graph, order_graph
 
 
 def n01_two_groups(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(order_graph(spark, d)).node("c", "Customer").expand("c", "PLACED", "o").hydrate("o", "amount")
-    m = m.where(P.greater(prop("o", "amount"), F.lit(100_000.0))).expand("o", "CONTAINS", "p").hydrate("p", "amount")
+    m = Match(order_graph(spark, d)).node("c", "Customer").expand("c", "PLACED", "o").load("o", "amount")
+    m = m.where(P.greater(prop("o", "amount"), F.lit(100_000.0))).expand("o", "CONTAINS", "p").load("p", "amount")
     return m.where(P.less(prop("p", "amount"), F.lit(1000.0))).returns(c="c", o="o", p="p")
 
 
@@ -35,7 +35,7 @@ def n08_expand_into(spark: SparkSession, d: str) -> DataFrame:
 
 
 def n09_optional(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(memory_graph(spark, d)).node("f", "Fact").optional(lambda b: b.expand("f", "ABOUT", "e").hydrate("e", "active").where(P.equal(prop("e", "active"), F.lit(True))))
+    m = Match(memory_graph(spark, d)).node("f", "Fact").optional(lambda b: b.expand("f", "ABOUT", "e").load("e", "active").where(P.equal(prop("e", "active"), F.lit(True))))
     return m.returns(f="f", e="e")
 
 
@@ -68,17 +68,17 @@ def n17_joined_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a01_grouped(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(order_graph(spark, d)).node("c", "Customer").expand("c", "PLACED", "o").hydrate("c", "name").hydrate("o", "name", "amount")
+    m = Match(order_graph(spark, d)).node("c", "Customer").expand("c", "PLACED", "o").load("c", "name").load("o", "name", "amount")
     return m.grouped({"segment": "c.name", "status": "o.name"}, n=F.count(F.lit(1)), whole=F.round(total(prop("o", "amount")), 2), mean=F.round(F.avg(prop("o", "amount")), 4))
 
 
 def a02_empty(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(memory_graph(spark, d)).node("f", "NoSuchLabel").hydrate("f", "active")
+    m = Match(memory_graph(spark, d)).node("f", "NoSuchLabel").load("f", "active")
     return m.grouped({}, n=F.count(F.lit(1)), known=F.count(prop("f", "active")), whole=total(prop("f", "active").cast("bigint")))
 
 
 def a03_count_present(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(memory_graph(spark, d)).node("f", "Fact").hydrate("f", "active", "context_id")
+    m = Match(memory_graph(spark, d)).node("f", "Fact").load("f", "active", "context_id")
     return m.grouped({"context_id": "f.context_id"}, n=F.count(F.lit(1)), known=F.count(prop("f", "active")))
 
 
@@ -93,7 +93,7 @@ def a07_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    m = Match(order_graph(spark, d)).node("c", "Customer").expand("c", "PLACED", "o").hydrate("o", "amount").where(P.greater(prop("o", "amount"), F.lit(50_000.0)))
+    m = Match(order_graph(spark, d)).node("c", "Customer").expand("c", "PLACED", "o").load("o", "amount").where(P.greater(prop("o", "amount"), F.lit(50_000.0)))
     return window(m.grouped({"c": "c"}, n=F.count(F.lit(1))), [F.col("n").desc_nulls_first(), F.col("c").asc_nulls_last()], limit=10)
 
 

@@ -107,10 +107,10 @@ def t19_fair_variants(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "target", "rank", F.array_join("nodes", ",").alias("nodes"), F.array_join(F.transform("rels", lambda x: x["relationship_id"].cast("string")), ",").alias("rels"))
 
 
-def t21_hydrated(spark: SparkSession, d: str) -> DataFrame:
+def t21_path_nodes(spark: SparkSession, d: str) -> DataFrame:
     g = memory_graph(spark, d)
     roots = _roots(g.edges, "SUPERSEDES").select(F.col("root").alias("v"))
-    found = paths_of.hydrate_paths(paths_of.simple_paths(g.edges, "SUPERSEDES", roots, max_len=2), g.vertices, ["logical_key"])
+    found = paths_of.load_paths(paths_of.simple_paths(g.edges, "SUPERSEDES", roots, max_len=2), g.vertices, ["logical_key"])
     keys = F.array_join(F.transform("path_nodes", lambda n: F.coalesce(n["logical_key"], F.lit("-"))), ">")
     return found.select("source", "target", "length", keys.alias("keys"))
 
@@ -120,7 +120,7 @@ def t25_neighbours_within(spark: SparkSession, d: str) -> DataFrame:
     return neighbours_within(g.edges, "ABOUT", g.vertices.where("active").select(F.col("id").alias("v")))
 
 
-NAMES = "t01_walks t01_chain_walks t03_zero_hops t04_reach_count t05_reach_window t06_levels t08_edge_visits t09_overlay t10_paths t11_single_source t13_pairwise t16_max_cost t18_parallel_paths t19_fair_variants t21_hydrated t25_neighbours_within"
+NAMES = "t01_walks t01_chain_walks t03_zero_hops t04_reach_count t05_reach_window t06_levels t08_edge_visits t09_overlay t10_paths t11_single_source t13_pairwise t16_max_cost t18_parallel_paths t19_fair_variants t21_path_nodes t25_neighbours_within"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 NEXT = """steps as (
@@ -181,7 +181,7 @@ select source, target, array_to_string(nodes, ',') as nodes, round(cost, 4) as c
     "t19_fair_variants": f"""with {_PARALLEL}, t as (select *, row_number() over (partition by source, target, nodes order by rels) as turn from p),
 q as (select *, row_number() over (partition by source, target order by turn, length, nodes) as rank from t)
 select source, target, rank::int as rank, array_to_string(nodes, ',') as nodes, array_to_string(rels, ',') as rels from q where rank <= 3""",
-    "t21_hydrated": f"""with {EDGES}, {_SUPER} select p.source, p.target, p.length,
+    "t21_path_nodes": f"""with {EDGES}, {_SUPER} select p.source, p.target, p.length,
   coalesce(a.logical_key, '-') || '>' || coalesce(b.logical_key, '-') || case when p.length = 2 then '>' || coalesce(c.logical_key, '-') else '' end as keys
 from p left join vertices a on a.id = p.nodes[1] left join vertices b on b.id = p.nodes[2] left join vertices c on c.id = p.nodes[3] where p.length <= 2""",
     "t25_neighbours_within": f"with {EDGES} select src, dst from edges where edge_type = 'ABOUT' and dst in (select id from vertices where active)",

@@ -28,7 +28,7 @@ def social(spark):
 
 
 def test_property_pattern(social):
-    m = Match(social).node("u", "User", active=True).hydrate("u", "name")
+    m = Match(social).node("u", "User", active=True).load("u", "name")
     assert rows(m.returns(name="u.name")) == [("alice",), ("bob",)]
 
 
@@ -38,7 +38,7 @@ def test_optional_keeps_rows(social):
 
 
 def test_optional_condition_counts_before_nulls_are_filled_in(social):
-    m = Match(social).node("u", "User").optional(lambda b: b.expand("u", "POSTED", "p").hydrate("p", "score").where(P.greater(prop("p", "score"), F.lit(6))))
+    m = Match(social).node("u", "User").optional(lambda b: b.expand("u", "POSTED", "p").load("p", "score").where(P.greater(prop("p", "score"), F.lit(6))))
     assert rows(m.returns(user="u", post="p")) == [(1, None), (2, 101), (3, 102)]
     assert rows(m.expand("u", "FOLLOWS", "v").returns(u="u", v="v")) == [(1, 2), (1, 3), (2, 3)]
 
@@ -49,7 +49,7 @@ def test_relationship_properties(social):
 
 
 def test_grouping_and_union(social):
-    m = Match(social).node("u", "User").expand("u", "POSTED", "p").hydrate("p", "score")
+    m = Match(social).node("u", "User").expand("u", "POSTED", "p").load("p", "score")
     assert rows(m.grouped({"user": "u"}, n=F.count(F.lit(1)), score=total(prop("p", "score")))) == [(2, 2, 12), (3, 1, 11)]
     a, b = Match(social).node("v", "User").returns(id="v"), Match(social).node("v", "Moderator").returns(id="v")
     assert rows(union(a, b)) == [(1,), (2,), (3,)]
@@ -154,7 +154,7 @@ def test_parallel_relationships_multiply_paths(spark):
     fair = paths.fair_variants(found, 1)
     assert sorted(x["target"] for x in fair.collect()) == [2, 3, 4]
     vertices = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, name string")
-    named = paths.hydrate_paths(found.where("target = 3"), vertices, ["name"])
+    named = paths.load_paths(found.where("target = 3"), vertices, ["name"])
     assert {tuple(n["name"] for n in x["path_nodes"]) for x in named.collect()} == {("a", "b", None)}
 
 
