@@ -67,6 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least the cluster's cores by hash of a key, where its scan has fewer partitions (few or small files);
+    otherwise as it is. For work in Python that costs more than a shuffle of its input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote, once nothing lazy reads it any more."""
     jvm = df.sparkSession._jvm
