@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.groups import connected_groups
 from graphloom.llm.leaks import clean
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 #: Titles, legal forms, and short forms of words in names of organisations and places.
 TITLES = set("mr mrs ms miss dr prof sir mx rev".split())
@@ -215,7 +215,7 @@ def forms_of(mentions: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["mention_id", "context_id", "form", "ordered", "kind"])
 
     usable = mentions.where("mention_id is not null and context_id is not null and surface is not null")
-    return usable.select("mention_id", "context_id", "surface", "entity_type").mapInPandas(
+    return spread(usable.select("mention_id", "context_id", "surface", "entity_type"), "mention_id").mapInPandas(
         run, "mention_id bigint, context_id string, form string, ordered string, kind string"
     )
 
@@ -240,7 +240,7 @@ def name_groups(mentions: DataFrame) -> DataFrame:
                 rows += [(xxhash.xxh64_intdigest(f"{row.context_id}\x1f{k}") - 2**63, row.id, fullness(words), row.n) for k in block_keys(words)]
             yield pd.DataFrame(rows, columns=["key", "id", "full", "n"])
 
-    keys = forms.mapInPandas(keyed, "key bigint, id bigint, full int, n bigint")
+    keys = spread(forms, "id").mapInPandas(keyed, "key bigint, id bigint, full int, n bigint")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     keys = cut(keys.join(shared, "key"))
     fuller = keys.select("key", F.col("id").alias("c"), F.col("full").alias("c_full"), F.col("n").alias("c_n"))

@@ -23,7 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 
 BUCKETS = 1 << 19
@@ -439,7 +439,7 @@ def gap_table(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": [a.tobytes() for a, _ in numbers], "gaps": [b.tobytes() for _, b in numbers]})
 
     usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return usable.mapInPandas(read, "doc_id bigint, spans binary, gaps binary")
+    return spread(usable, "doc_id").mapInPandas(read, "doc_id bigint, spans binary, gaps binary")
 
 
 def fit_events(gap_rows: DataFrame, rounds: int = ROUNDS) -> EventModel:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.session import spread
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: Fixed value: how the vocabulary's texts are cut into words before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -235,7 +237,7 @@ def encode_texts(
         for frame in frames:
             yield pd.DataFrame({id_column: frame[id_column], "ids": [machine.encode(t, pattern) for t in frame[text]]})
 
-    return documents.select(id_column, text).mapInPandas(run, schema)
+    return spread(documents.select(id_column, text), id_column).mapInPandas(run, schema)
 
 
 def decode_texts(encoded: DataFrame, id_column: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
