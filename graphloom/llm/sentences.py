@@ -59,10 +59,27 @@ RIGHT = regex.compile(rf"[^\S\n]*[{regex.escape(OPENERS)}]*((?:{WORD}|(?<=\p{{L}
 LABEL = regex.compile(r"^[^\S\n]*(?:\[\d{1,2}:\d{2}(?::\d{2})?\][^\S\n]*)?(?:[\p{L}\p{M}\p{N}_.'-]{1,30}(?:[^\S\n][\p{L}\p{M}\p{N}_.'-]{1,20})?(?::|>)(?=\s|$)[^\S\n]*|(?<=\])(?=\s))")
 MARKER = regex.compile(r"^[^\S\n]*(?:[-*•‣·+–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))[^\S\n]+")
 BLANK = regex.compile(r"\r?\n(?:[^\S\n]*\r?\n)+")
+#: Lines of code or data whatever words they hold: keyed brackets, queries, definitions, imports, assignments, special tokens alone, rulers, addresses, prompts.
 CODE = regex.compile(
-    r"^[^\S\n]*(?:[{\[].*[}\]][,;]?|.*\t.*\t.*|(?:MATCH|SELECT|CREATE|RETURN|INSERT|UPDATE|DELETE|MERGE|WITH)\s.*[=({*].*|(?:def|class|import|from|return|if|for|while|fn|let|const|var)\s.*[:;({=].*"
-    r"|\S+\s=\s\S+|```.*|.*<\|\S+\|>.*|.*(?:[=~*#_+-]{3,}\s*){2,}.*|(?:https?://\S+\s*)+|[$>]\s.*|.*[;{]\s*)$"
+    r"^[^\S\n]*(?:\{[^\S\n]*(?:\}|([\"']?)[\w$-]+\1\s*:.*\})[,;]?|\[\s*(?:-?\d[\d.eE+-]*(?:\s*,\s*-?\d[\d.eE+-]*)+|([\"'])[^\"']*\2(?:\s*,\s*([\"'])[^\"']*\3)*|\{.*\})\s*\][,;]?"
+    r"|(?:MATCH|CREATE|MERGE)\s+\(\w*(?::.*|\)\s*(?:[-<,;].*|(?:SET|RETURN|WHERE|DELETE)\b.*)?)"
+    r"|(?:MATCH|SELECT|CREATE|RETURN|INSERT|UPDATE|DELETE|MERGE|WITH)\s(?=.*(?:\(\w*:|->|<-|\w\s*(?:[<>!]?=|<>)\s*[\w'\"$(]|\w\(|\{\s*\w+\s*:|(?<![^\s(])\*|\bFROM\s|\bAS\s*\()).*"
+    r"|(?:async\s+)?(?:def|fn|func|function)\s+\w+\s*[(<].*|class\s+[A-Z_]\w*\s*(?:\(.*\)|extends\s.*)?\s*[:{]"
+    r"|from\s+[\w.]+\s+import\s+(?:\*|\(?\w+(?:\s+as\s+\w+)?(?:\s*,\s*\w+(?:\s+as\s+\w+)?)*\)?);?|import\s+(?:\w+(?:\.\w+)+(?:\.\*)?|[\w{}*, ]+\sfrom\s+[\"'][^\"']+[\"']);?"
+    r"|(?:let|const|var)\s+[\w{}\[\], ]+\s*(?::\s*\w+\s*)?=.*|for\s+\w+(?:\s*,\s*\w+)*\s+in\s+[\w.]*[(\[.].*:|for\s+\w{1,2}\s+in\s+\w+:"
+    r"|(?:if|elif|while|return|for|switch)\b(?=.*(?:\w\s*[=!<>]=\s*\S|\w\s[<>]\s\w|&&|\|\||\w\([^()]*\)\s*[:;{]|\w\[\w+\]|\w\s[-+*/]\s\w)).*[:;{]"
+    r"|\S+\s=\s\S+|```.*|(?:[^<\s]*<\|\S+\|>\S*\s*)+|(?:https?://\S+\s*)+|>>>\s.*|\$\s+[\w./-]+(?:\s.*)?\s(?:--?\w|[|>&]).*)$"
 )
+#: Lines that look like code by their layout, unless they hold sentences.
+LAYOUT = regex.compile(r"^[^\S\n]*(?:\{.*\}[,;]?|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\][,;]?|.*(?:[=~*#_+-]{3,}\s*){2,}.*|.*<\|\S+\|>.*|\$\s.*|.*\{\s*|\}.*)$")
+#: What a statement holds before its final semicolon: an assignment, or a call that the line begins with.
+STATEMENT = regex.compile(r"^[^\S\n]*(?:(?:[\w.:<>*&\[\]]+\s+){0,3}[\w.\[\]>-]+\s*[-+*/%&|^]?=\s*\S.*|[a-z-]+:\s*[\w#.%(), -]*\d(?:px|em|rem|pt|%|v[hw])[\w#.%(), -]*|(?:return|await|new|throw)?\s*[\w.:>-]+\(.*\)\s*|(?:return|break|continue)(?:\s+-?[\d.]+)?\s*|\}.*);\s*$")
+#: Three natural words or more (one stretch of an unspaced script) before a sentence mark.
+PROSE = regex.compile(
+    r"(?:(?<![\p{L}\p{N}_])[\p{L}\p{M}\p{N}’'\u00ad\u200b\u2060-]+,?[\s\u200b]+){2,}[\p{L}\p{M}’'\u00ad\u200b\u2060-]+[.!?…।؟]+[\"'”’»)\]]*(?=\s|$)|[\p{Han}\p{Hiragana}\p{Katakana}]{3,}[。！？]"
+)
+#: A cell of a table: empty, a number, a constant, or an identifier with digits.
+CELL = regex.compile(r"^\s*(?:|[-+]?[\d.,]+(?:[eE][-+]?\d+)?%?|0x[0-9A-Fa-f]+|(?i:null|none|nan|true|false)|(?=\S*\d)[\w:./+-]+)\s*$")
 QUOTES = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "《": "》", "‘": "’"}
 
 
@@ -90,12 +107,20 @@ class Gap:
     words: int = 0
 
 
+def tabular(line: str) -> bool:
+    """Whether a line is a row of three cells or more, at least half of them values; tabs between words are layout."""
+    cells = line.strip(" ").split("\t")
+    return len(cells) > 2 and any(c.strip() for c in cells) and 2 * sum(bool(CELL.match(c)) for c in cells) >= len(cells)
+
+
 def code_like(line: str) -> bool:
-    """Whether a line is code or data rather than prose."""
-    if CODE.match(line):
+    """Whether a line is code or data rather than prose: by evidence of the whole line, never by its last mark or first word."""
+    if CODE.match(line) or ("\t" in line and tabular(line)):
         return True
     marks = len(MARKS.findall(line))
-    return marks >= 6 and marks > 0.12 * len(line)
+    if not (LAYOUT.match(line) or (line.rstrip().endswith(";") and STATEMENT.match(line)) or (marks >= 6 and marks > 0.12 * len(line))):
+        return False
+    return not PROSE.search(line)
 
 
 def paragraphs(text: str) -> list[tuple[int, int, bool]]:

@@ -9,7 +9,7 @@ from conftest import rows
 from graphloom.llm.groups import connected_groups
 from graphloom.llm.leaks import leaked_items
 from graphloom.llm.names import name_groups, parse, same_name_pairs
-from graphloom.llm.sentences import fit_events, gap_table, sentence_units
+from graphloom.llm.sentences import code_like, fit_events, gap_table, sentence_units
 from graphloom.llm.tokenizer import WORD_PATTERN, Transducer, decode_texts, encode_texts, round_trip, transducer
 from graphloom.llm import vectors
 
@@ -280,3 +280,20 @@ def test_sentences_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert rows(sentence_units(df)) == []
     assert fit_events(gap_table(df)).counts.sum() == 0
+
+
+def test_prose_is_no_code(spark):
+    code = ["f(x);", "int x = 5;", "if (x > 1) {", "} else {", "h = sha256:00068d26", "8310\t0.22\tBortrekrin\tNULL\t\t0x2076", "def f(a, b=None):", '{"a": "We left. He ran."}', "SELECT * FROM t WHERE a = 1", "$ ls -la /tmp"]
+    prose = [
+        "Πού άφησες το ποδήλατο;", "We met near the allotment last week;", "The\tmarathon\ttook\t172\tminutes.\tWe\tleft.", "> We left the bus. He ran.", "[14:50] user: see [1]",
+        "for Mr. Grimvul (ext. 171) at reception. I packed", "from 0.402 to 0.704 after the merge. We took the train (it", "if you want (or not), come: we left;", "RETURN (THE BOOK). WE LEFT THEM.",
+    ]
+    assert [x for x in code if not code_like(x)] == [] and [x for x in prose if code_like(x)] == []
+    filler = [f"We took the train {n} times. He ran home. I packed the lamp. Mr. Ralchum (ext. {n}) moved the visit to Monday." for n in range(30)]
+    greek = "Χθες έστειλα 719 γράμματα στην πόλη. Πού άφησες το ποδήλατο;"
+    texts = [greek, "We\ttook\tthe\ttrain.\tHe\tran\thome.", "We asked\nfor Mr. Ralchum (ext. 171) at reception. I packed the lamp.", "> We took the train. He ran home."]
+    got = sentences(spark, [*texts, *filler])
+    assert got[0] == ["Χθες έστειλα 719 γράμματα στην πόλη.", "Πού άφησες το ποδήλατο;"]
+    assert got[1] == ["We\ttook\tthe\ttrain.", "He\tran\thome."]
+    assert got[2] == ["We asked\nfor Mr. Ralchum (ext. 171) at reception.", "I packed the lamp."]
+    assert got[3] == ["> We took the train.", "He ran home."]
