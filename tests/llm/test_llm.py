@@ -48,6 +48,19 @@ def test_vectors_match_brute_force(spark, monkeypatch, cell_rows, least):
     assert np.mean([len(set(got[i]) & set(true[i])) / 5 for i in ids]) >= least
 
 
+def test_vectors_without_clusters_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    monkeypatch.setattr(vectors, "SHELL_ROWS", 8)
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(500, 96)).astype(np.float32)
+    matrix[:40] = matrix[40:80] + 0.05 * rng.normal(size=(40, 96))
+    ids = list(range(500))
+    got = {}
+    for r in vectors.most_similar(facts(spark, zip(ids, [True] * 500, matrix)), 10).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["other_id"])
+    assert got == brute(ids, matrix.astype(np.float64), 10)
+
+
 def test_vectors_leave_out_unusable_rows_and_break_ties_by_id(spark):
     v = [1.0, 0.0, 0.0]
     items = [(1, True, v), (1, True, v), (4, True, [2.0, 0.0, 0.0]), (3, True, v), (2, True, [0.0, 1e30, 1e-30]), (9, False, v), (10, True, None), (11, True, []), (12, True, [0, 0, 0]), (13, True, [float("nan"), 1, 1]), (14, True, [float("inf"), 1, 1]), (None, True, v), (15, None, v)]
