@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.groups import connected_groups
-from graphloom.llm.leaks import leaked_items
+from graphloom.llm.leaks import leaked_items, reparameterised
 from graphloom.llm.names import same_name_pairs
 from graphloom.llm.sentences import sentence_units
 from graphloom.llm.tokenizer import encode_texts, round_trip
@@ -39,11 +39,15 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
 
 
+def p7_reparameterised(spark: SparkSession, directory: str) -> DataFrame:
+    return reparameterised(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return sentence_units(table(spark, directory, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_reparameterised": p7_reparameterised, "p8_found": p8_found}
 
 SQL = {
     "p1_found": """with raw as (

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from graphloom.llm.groups import connected_groups
-from graphloom.llm.leaks import leaked_items
+from graphloom.llm.leaks import leaked_items, reparameterised
 from graphloom.llm.names import name_groups, parse, same_name_pairs
 from graphloom.llm.sentences import code_like, fit_events, gap_table, sentence_units
 from graphloom.llm.tokenizer import WORD_PATTERN, Transducer, decode_texts, encode_texts, round_trip, transducer
@@ -246,6 +246,35 @@ def test_leaks_in_altered_texts_and_none_in_reparameterised_ones(spark):
     assert not {d for d, _ in got} & {3, 4, 5, 6, 7, 8, 11}
 
 
+def test_leaks_do_not_change_when_items_are_repeated(spark):
+    evidence = ITEM[3].split(". ")
+    texts = [f"{evidence[0]}. {evidence[1]}.", OTHER[3], f"{ITEM[1]} {ITEM[2]}", "After the flood in Kumlu Bay, Trekbo lent Sormin 417 foreign coins in exchange for 52 piano lessons."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    schema = "item_id bigint, question string, answer string, evidence string"
+    once = None
+    for times in (1, 4, 40):  # the copies are found, too
+        items = spark.createDataFrame([(n * 10 + i[0], *i[1:]) for n in range(times) for i in (ITEM, OTHER)], schema)
+        got = rows(leaked_items(docs, items))
+        found = {(d, i % 10) for d, i in got}
+        assert len(got) == times * len(found)
+        once = once or found
+        assert found == once == {(0, 1), (1, 2), (2, 1)}
+
+
+def test_leaks_of_items_without_names_or_numbers(spark):
+    items = spark.createDataFrame([(1, "what did the old gardener hide under the stairs", "a small blue bicycle", None), (2, None, None, "the harbour was empty and nobody had swept the narrow quay")], "item_id bigint, question string, answer string, evidence string")
+    texts = ["we asked: what did the old gardener hide under the wooden stairs? well, a small blue bicycle.", "what did the old gardener hide under the stairs", "so the harbour was empty, and nobody had swept that narrow quay", "the gardener swept the stairs and nobody was there", "a small blue bicycle"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert rows(leaked_items(docs, items)) == [(0, 1), (2, 2)]
+
+
+def test_reparameterised_questions_are_reported_apart(spark):
+    items = spark.createDataFrame([(*ITEM[:1], *ITEM[1:])] + [(9, None, None, "Kumbo lent Dasnen 619 foreign coins in May."), (10, None, None, "Vamtis lent Bukik 20 foreign coins in May."), (11, None, None, "Grakhol lent Ralmis 305 foreign coins in May.")], "item_id bigint, question string, answer string, evidence string")
+    docs = spark.createDataFrame([(1, "Kumbo lent Dasnen 619 foreign coins in May. Other words."), (2, "Tetik lent Sormin 17 foreign coins in May."), (3, None), (4, "")], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["sentences"], r["consistent"]) for r in reparameterised(docs, items).collect()}
+    assert got == {(1, 1, 1), (2, 1, 0)}
+
+
 def test_leaks_of_empty_tables(spark):
     assert leak_pairs(spark, []) == []
 
