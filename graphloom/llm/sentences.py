@@ -2,18 +2,20 @@
 
 Between words lies a hidden event: a boundary token or none. The model gives the odds of the event from n-grams: how
 often a boundary follows the left word and its punctuation, how often the right word begins a sentence against following
-that left word inside one, and the same for word shapes as the back-off. The chance of two boundaries around one word
-links neighbouring gaps, so the posteriors come from a forward-backward pass over each paragraph. Scripts without
-sentence marks have their gaps at spaces.
+that left word inside one, and the same for word shapes as the back-off. Where a paragraph has no sentence marks at all,
+every gap between its words (or characters, in scripts without spaces) is a candidate, and the odds come from the same
+words with the marks left out: bigrams across and without a boundary token, backing off to single words. How often
+boundaries follow one another after a single word is counted too and links such gaps, so the posteriors come from a forward-backward pass over each paragraph.
 
 The n-grams are counted over all documents, first with the events that seed rules suggest, then with the posteriors of
 that first model (expectation maximisation). Counts are hashed into a fixed number of buckets, so the model's size does
-not grow with the corpus.
+not grow with the corpus (16 MB at most).
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,10 @@ from graphloom.session import cut, spread
 
 
 BUCKETS = 1 << 19
+#: Buckets of word n-grams without marks; they follow the two halves of the others.
+WORD_BUCKETS = 1 << 20
+#: A paragraph without marks is taken for several sentences only from so many words (or characters without spaces) on.
+LEAST_WORDS, LEAST_CHARACTERS = 6, 10
 ROUNDS = 1
 THRESHOLD = 0.5
 
@@ -298,12 +304,62 @@ def _features(g: Gap) -> tuple[int, ...]:
     )
 
 
-#: Columns of a gap's numbers: paragraph, end of the text before it, start of the text after it, whether it leaves a single
-#: short word between itself and the gap before, whether its right word and shape are counted, seed chance, twelve places.
-PARAGRAPH, BEFORE, AFTER, SHORT, OWN, SEED, PLACES = 0, 1, 2, 3, 4, 5, 6
+#: Columns of a gap's numbers: paragraph, end of the text before it, start of the text after it, its link class, whether
+#: its right word and shape are counted, seed chance, twelve places.
+PARAGRAPH, BEFORE, AFTER, LINK, OWN, SEED, PLACES = 0, 1, 2, 3, 4, 5, 6
+#: Link classes: how many words lie between a gap and the one before; the last one is a gap without any mark.
+ONE_WORD, MORE_WORDS, UNMARKED = range(3)
 WIDTH = PLACES + 12
 KIND, LEFT_WORD, RIGHT_WORD, LEFT_SHAPE, PAIR, SHAPE = range(0, 12, 2)
 TOTAL = _bucket("t")
+#: Places of pairs of neighbouring events by link class: none none, none boundary, boundary none, boundary boundary.
+LINKS = np.array([[_bucket("link", str(c), str(k))[0] for k in range(4)] for c in range(3)])
+WORD_TOTAL = 2 * BUCKETS
+TABLE = 2 * BUCKETS + WORD_BUCKETS
+
+#: Words of the unmarked model; characters of scripts without spaces are words of their own.
+TOKENS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*|[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
+PLAIN_TOKENS = re.compile(r"[a-z0-9]+(?:'[a-z]+)*")
+PARAGRAPH_END, FIRST_GAP = -1, -2
+
+
+class _Codes(dict):
+    """31-bit codes of words; all numbers are one."""
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = xxhash.xxh64_intdigest("#" if word[0].isdigit() else word) & 0x7FFFFFFF
+        return code
+
+
+CODES = _Codes()
+
+
+def word_codes(text: str) -> list[int]:
+    text = text.lower()
+    if len(CODES) > 300_000:
+        CODES.clear()
+    return list(map(CODES.__getitem__, PLAIN_TOKENS.findall(text) if text.isascii() else TOKENS.findall(text)))
+
+
+def _word_place(kind: int, a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
+    h = (np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.asarray(b, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ np.uint64(kind * 0x51ED27)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (2 * BUCKETS + 1 + ((h ^ (h >> np.uint64(33))) % np.uint64(WORD_BUCKETS - 1))).astype(np.int64)
+
+
+def unmarked_gaps(part: str) -> list[tuple[int, int, list[int]]]:
+    """(end of the left word, start of the right one, places of left word, right word, both) in a paragraph without marks."""
+    at = _prefix(part)
+    found = list(TOKENS.finditer(part, at))
+    if len(found) < LEAST_WORDS or (len(found) < LEAST_CHARACTERS and any(WIDE.match(m[0]) or UNSPACED.match(m[0]) for m in found)):
+        return []
+    codes = np.array(word_codes(part[at:]), dtype=np.int64)
+    if len(codes) != len(found):
+        codes = np.array([CODES[m[0].lower()] for m in found], dtype=np.int64)
+    places = np.column_stack([_word_place(1, codes[:-1]), _word_place(2, codes[1:]), _word_place(3, codes[:-1], codes[1:])])
+    # No boundary inside a word's punctuation, nor between letters of a script whose words aren't marked.
+    keep = [i for i, (a, b) in enumerate(zip(found, found[1:])) if (part[a.end() : b.start()].strip(" \r\n\t") == "") and not (UNSPACED.match(a[0]) and a.end() == b.start())]
+    return [(found[i].end(), found[i + 1].start(), places[i].tolist()) for i in keep]
 
 
 def _cased(text: str) -> bool:
@@ -317,10 +373,14 @@ def _hidden(c: str) -> bool:
     return c.isspace() or c in "\u200b\u200c\u2060\ufeff\xad\x00"
 
 
-def numbers_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(start and end of each paragraph's visible text, the gaps' numbers) of a text."""
+def numbers_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start and end of each paragraph's visible text, the gaps' numbers, the words with their gaps) of a text.
+
+    Words are a stream of codes in which PARAGRAPH_END and FIRST_GAP - number of the gap stand between words.
+    """
     spans: list[tuple[int, int]] = []
     found: list[tuple[int, ...]] = []
+    stream: list[int] = []
     for start, end, whole in paragraphs(text or ""):
         part = text[start:end]
         first, last = 0, len(part)
@@ -330,22 +390,57 @@ def numbers_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             last -= 1
         if first == last:
             continue
-        reached = start + first
-        for g in [] if whole else gaps(part, _cased(part) if len(part) > 40 else _cased(text)):
+        reached, read = start + first, first
+        marked = [] if whole else gaps(part, _cased(part) if len(part) > 40 else _cased(text))
+        words = 0
+        for g in marked:
             before, after = g.end, g.end
             while before and _hidden(part[before - 1]):
                 before -= 1
             while after < last and _hidden(part[after]):
                 after += 1
+            words += g.words
             if after >= last or start + before <= reached:
                 continue
             reached = start + after
-            short = g.words <= 1 and g.kind[0] == "." and len(g.left) <= 3
+            link = ONE_WORD if words <= 1 else MORE_WORDS
+            words = 0
             # A number after an abbreviation is explained by it; the odds of numbers are learnt elsewhere.
             own = not (g.shape.startswith("digit") and (g.left in SEED_ABBREVIATIONS or len(g.left) == 1))
-            found.append((len(spans), start + before, start + after, short, own, round(g.seed * 1000), *_features(g)))
+            stream += word_codes(part[read:before])
+            stream.append(FIRST_GAP - len(found))
+            read = before
+            found.append((len(spans), start + before, start + after, link, own, round(g.seed * 1000), *_features(g)))
+        if not whole:
+            if not marked and not END.search(part):
+                for before, after, places in unmarked_gaps(part):
+                    stream += word_codes(part[read:before])
+                    stream.append(FIRST_GAP - len(found))
+                    read = before
+                    found.append((len(spans), start + before, start + after, UNMARKED, 0, 0, *places, *[0] * 9))
+            stream += word_codes(part[read:last])
+            stream.append(PARAGRAPH_END)
         spans.append((start + first, start + last))
-    return np.array(spans, dtype=np.int32).reshape(-1, 2), np.array(found, dtype=np.int32).reshape(-1, WIDTH)
+    return np.array(spans, dtype=np.int32).reshape(-1, 2), np.array(found, dtype=np.int32).reshape(-1, WIDTH), np.array(stream, dtype=np.int32)
+
+
+def word_pairs(stream: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left word, right word, chance of a boundary between) of a stream; words at the ends of paragraphs pair with -1."""
+    is_word = stream >= 0
+    at = np.flatnonzero(is_word)
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    # The strongest event between two words is the one that counts.
+    event = np.zeros(len(stream))
+    event[stream == PARAGRAPH_END] = 2.0
+    gap = stream <= FIRST_GAP
+    event[gap] = chances[FIRST_GAP - stream[gap]]
+    between = np.maximum.reduceat(np.append(event, 0.0), at)
+    left = stream[at].astype(np.int64)
+    right = np.append(left[1:], -1)
+    ends = between >= 2.0
+    ends[-1] = True
+    return left, np.where(ends, -1 - right, right), np.where(ends, 1.0, between)
 
 
 class EventModel:
@@ -355,6 +450,18 @@ class EventModel:
         self.counts = counts
         yes, no = counts[TOTAL[0]] + 1.0
         self.base = math.log(yes / no)
+        self.links = self._links()
+
+    def _links(self) -> np.ndarray:
+        """How much likelier than by chance each pair of neighbouring events is, by link class; 1 where nothing was seen."""
+        seen = self.counts[LINKS, 0].astype(np.float64).reshape(3, 2, 2)
+        smooth = seen + 5 * seen.sum(axis=2, keepdims=True) * seen.sum(axis=1, keepdims=True) / np.maximum(seen.sum(axis=(1, 2), keepdims=True), 1e-9) ** 2
+        total = smooth.sum(axis=(1, 2), keepdims=True)
+        expected = smooth.sum(axis=2, keepdims=True) * smooth.sum(axis=1, keepdims=True) / np.maximum(total, 1e-9)
+        link = np.where(expected > 0, smooth / np.maximum(expected, 1e-9), 1.0)
+        # Farther apart, what two marks have in common comes from the kind of text and not from each other.
+        link[MORE_WORDS] = 1.0
+        return link
 
     def _odds(self, places: np.ndarray, prior: np.ndarray | float, weight: float) -> np.ndarray:
         """log P(boundary)/P(none) of features with `weight` pseudo counts at the prior log odds."""
@@ -374,35 +481,52 @@ class EventModel:
         # The left word before such a shape, then before this very word, where they were seen often enough.
         return self._odds(at(PAIR), self._odds(at(LEFT_SHAPE), joint, 8), 6)
 
+    def unmarked_log_odds(self, places: np.ndarray) -> np.ndarray:
+        """log odds of boundary tokens between words alone; places: left word, right word, both."""
+        total = self.counts[WORD_TOTAL].astype(np.float64) + 1.0
+        base = math.log(total[0] / total[1])
+        seen = self.counts[places].astype(np.float64)
+        share = total / total.sum()
+        by = lambda i, weight: np.log((seen[:, i, 0] + weight * share[0]) / (seen[:, i, 1] + weight * share[1]))
+        # P(right | left) inside a sentence against P(right): a pair never seen after a frequent word speaks for a boundary.
+        left, right, both = seen[:, 0, 1], seen[:, 1, 1], seen[:, 2, 1]
+        right_share = (right + 1) / (total[1] + 1)
+        inside = (np.maximum(both - 0.5, 0) + 2 * right_share) / (left + 2) / right_share
+        return by(0, 4) + (by(1, 4) - base) - np.log(np.clip(inside, 1e-3, 1e3))
+
     def chances(self, gap_numbers: np.ndarray, runs: np.ndarray) -> np.ndarray:
-        """Posterior chance of a boundary at each gap; `runs` numbers the paragraph of each gap, in order.
-
-        Gaps of a paragraph only depend on one another around a single short word, so only such runs need the pass.
-        """
-        p = 1 / (1 + np.exp(-np.clip(self.log_odds(gap_numbers), -30, 30)))
-        linked = np.unique(runs[gap_numbers[:, SHORT] > 0])
-        for low, high in zip(np.searchsorted(runs, linked, "left"), np.searchsorted(runs, linked, "right")):
-            p[low:high] = forward_backward(p[low:high], np.where(gap_numbers[low:high, SHORT] > 0, 0.2, 1.0))
-        return p
-
-
-def forward_backward(emit: np.ndarray, link: np.ndarray) -> np.ndarray:
-    """Posteriors of a chain of two-state events; link[i] weighs two boundaries at i - 1 and i."""
-    forward = [(emit[0], 1 - emit[0])]
-    for e, c in zip(emit[1:], link[1:]):
-        yes, no = forward[-1]
-        f = (e * (yes * c + no), (1 - e) * (yes + no))
-        z = sum(f) or 1.0
-        forward.append((f[0] / z, f[1] / z))
-    out, back = np.empty(len(emit)), (1.0, 1.0)
-    for i in range(len(emit) - 1, -1, -1):
-        yes, no = forward[i][0] * back[0], forward[i][1] * back[1]
-        out[i] = yes / ((yes + no) or 1.0)
-        e, c = emit[i], link[i]
-        back = (e * c * back[0] + (1 - e) * back[1], e * back[0] + (1 - e) * back[1])
-        z = sum(back) or 1.0
-        back = (back[0] / z, back[1] / z)
-    return out
+        """Posterior chance of a boundary at each gap; `runs` numbers the paragraph of each gap, in order."""
+        plain = gap_numbers[:, LINK] == UNMARKED
+        odds = np.empty(len(gap_numbers))
+        odds[~plain] = self.log_odds(gap_numbers[~plain])
+        odds[plain] = self.unmarked_log_odds(gap_numbers[plain, PLACES : PLACES + 3])
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return forward_backward(p, runs, self.links[gap_numbers[:, LINK]])
+
+
+def forward_backward(emit: np.ndarray, runs: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """Posteriors of chains of two-state events: emit is each gap's own chance, link[i] (2 x 2) weighs the states of gaps
+    i - 1 and i of one run. All runs go forward together, longest first."""
+    if not len(emit):
+        return emit
+    starts = np.flatnonzero(np.append(True, np.diff(runs) != 0))
+    lengths = np.diff(np.append(starts, len(runs)))
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    own = np.column_stack([1 - emit, emit])
+    forward, back = own.copy(), np.ones((len(emit), 2))
+    steps = range(1, int(lengths[0]))
+    active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(int(lengths[0]) + 1)]
+    for t in steps:
+        i = starts[: active[t]] + t
+        f = own[i] * np.einsum("ns,nst->nt", forward[i - 1], link[i])
+        forward[i] = f / np.maximum(f.sum(1, keepdims=True), 1e-300)
+    for t in reversed(steps):
+        i = starts[: active[t]] + t
+        b = np.einsum("nst,nt->ns", link[i], own[i] * back[i])
+        back[i - 1] = b / np.maximum(b.sum(1, keepdims=True), 1e-300)
+    both = forward * back
+    return both[:, 1] / np.maximum(both.sum(1), 1e-300)
 
 
 def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -418,17 +542,46 @@ def _gathered(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return all_spans, span_rows, all_gaps, gap_rows, runs
 
 
-def expected_counts(gap_numbers: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """The count table that gaps with these chances of a boundary give."""
-    places = gap_numbers[:, PLACES:]
+def _streams(frame: pd.DataFrame) -> np.ndarray:
+    """The word streams of a batch as one, gaps numbered through."""
+    out, before = [np.empty(0, np.int64)], 0
+    for words, numbers in zip(frame["words"], frame["gaps"]):
+        stream = np.frombuffer(words, dtype=np.int32).astype(np.int64)
+        stream[stream <= FIRST_GAP] -= before
+        out.append(stream)
+        before += len(numbers) // (4 * WIDTH)
+    return np.concatenate(out)
+
+
+def add_counts(table: np.ndarray, gap_numbers: np.ndarray, chances: np.ndarray, runs: np.ndarray, stream: np.ndarray) -> None:
+    """Add what gaps with these chances of a boundary, and the words around them, give to a count table."""
+    marked = gap_numbers[:, LINK] != UNMARKED
+    places, p = gap_numbers[marked, PLACES:], chances[marked]
     use = np.ones(places.shape)
     for f in (RIGHT_WORD, SHAPE):
-        use[:, f : f + 2] = gap_numbers[:, OWN, None]
-    table = np.zeros((2 * BUCKETS, 2))
-    for column, p in ((0, chances), (1, 1 - chances)):
-        table[:, column] = np.bincount(places.ravel(), (use * p[:, None]).ravel(), 2 * BUCKETS)
-        table[list(TOTAL), column] += p.sum()
-    return table
+        use[:, f : f + 2] = gap_numbers[marked, OWN, None]
+    left, right, event = word_pairs(stream, chances)
+    inner = right >= 0
+    word_places = [_word_place(1, left), _word_place(2, np.where(right >= 0, right, np.maximum(-1 - right, 0))), _word_place(3, left[inner], right[inner])]
+    word_chances = [event, event, event[inner]]
+    for column in (0, 1):
+        side = lambda x: x if column == 0 else 1 - x  # noqa: B023, E731
+        table[: 2 * BUCKETS, column] += np.bincount(places.ravel(), (use * side(p)[:, None]).ravel(), 2 * BUCKETS)
+        table[list(TOTAL), column] += side(p).sum()
+        for where, of in zip(word_places, word_chances):
+            table[:, column] += np.bincount(where, side(of), TABLE)
+        table[WORD_TOTAL, column] += side(event).sum()
+    # Pairs of neighbouring events: of marks by the words between them, and of all neighbouring words.
+    near = np.flatnonzero(np.diff(runs) == 0) + 1 if len(runs) else np.empty(0, np.int64)
+    for c in range(UNMARKED):
+        i = near[gap_numbers[near, LINK] == c]
+        _add_pairs(table, c, chances[i - 1], chances[i])
+    _add_pairs(table, UNMARKED, event[:-1], event[1:])
+
+
+def _add_pairs(table: np.ndarray, link: int, a: np.ndarray, b: np.ndarray) -> None:
+    for k, (x, y) in enumerate(((1 - a, 1 - b), (1 - a, b), (a, 1 - b), (a, b))):
+        table[LINKS[link, k], 0] += (x * y).sum()
 
 
 BLOCK_BITS = 14
@@ -456,19 +609,19 @@ def _add_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def gap_table(documents: DataFrame) -> DataFrame:
-    """doc_id, spans, gaps: the paragraphs and candidate gaps of each text as packed numbers; texts are read once."""
+    """doc_id, spans, gaps, words: the paragraphs, candidate gaps and words of each text as packed numbers; texts are read once."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             numbers = [numbers_of(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "spans": [a.tobytes() for a, _ in numbers], "gaps": [b.tobytes() for _, b in numbers]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], **{name: [n[i].tobytes() for n in numbers] for i, name in enumerate(("spans", "gaps", "words"))}})
 
     usable = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    return spread(usable, "doc_id").mapInPandas(read, "doc_id bigint, spans binary, gaps binary")
+    return spread(usable, "doc_id").mapInPandas(read, "doc_id bigint, spans binary, gaps binary, words binary")
 
 
 def fit_events(gap_rows: DataFrame, rounds: int = ROUNDS) -> EventModel:
-    """The model from counts over all rows of gap_table; what reaches the driver is bounded by the table (8 MB)."""
+    """The model from counts over all rows of gap_table; what reaches the driver is bounded by the table (16 MB)."""
     spark = gap_rows.sparkSession
     model: EventModel | None = None
     for _ in range(rounds + 1):
@@ -476,18 +629,17 @@ def fit_events(gap_rows: DataFrame, rounds: int = ROUNDS) -> EventModel:
 
         def count(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             known = EventModel(shared.value) if shared.value is not None else None
-            table, some = np.zeros((2 * BUCKETS, 2)), 0
+            table, some = np.zeros((TABLE, 2)), 0
             for frame in frames:
                 _, _, numbers, _, runs = _gathered(frame)
-                if len(numbers):
-                    table += expected_counts(numbers, known.chances(numbers, runs) if known else numbers[:, SEED] / 1000)
-                    some += int(numbers[0, PLACES])
+                add_counts(table, numbers, known.chances(numbers, runs) if known else numbers[:, SEED] / 1000, runs, _streams(frame))
+                some += len(numbers)
             yield _to_blocks(table, some % 32)
 
         schema = "block int, salt int, data binary"
-        sums = gap_rows.select("spans", "gaps").mapInPandas(count, schema)
+        sums = gap_rows.select("spans", "gaps", "words").mapInPandas(count, schema)
         sums = sums.groupBy("block", "salt").applyInPandas(_add_blocks, schema).groupBy("block").applyInPandas(_add_blocks, schema)
-        counts = np.zeros((2 * BUCKETS, 2), dtype=np.float32)
+        counts = np.zeros((TABLE, 2), dtype=np.float32)
         for block, _, data in sums.collect():
             part = np.frombuffer(data, dtype=np.float32).reshape(-1, 3)
             counts[(block << BLOCK_BITS) + part[:, 0].astype(np.int64)] = part[:, 1:]
@@ -509,7 +661,7 @@ def units_of(frame: pd.DataFrame, model: EventModel) -> pd.DataFrame:
 
 def sentences_of(text: str | None, model: EventModel) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of one text in code points; none for null and blank texts."""
-    spans, numbers = numbers_of(text)
+    spans, numbers, _ = numbers_of(text)
     units = units_of(pd.DataFrame({"doc_id": [0], "spans": [spans.tobytes()], "gaps": [numbers.tobytes()]}), model)
     return list(zip(units["start_char"].tolist(), units["end_char"].tolist()))
 
@@ -528,4 +680,4 @@ def sentence_units(documents: DataFrame) -> DataFrame:
         for frame in frames:
             yield units_of(frame, model)
 
-    return read.mapInPandas(split, "doc_id bigint, start_char bigint, end_char bigint")
+    return read.select("doc_id", "spans", "gaps").mapInPandas(split, "doc_id bigint, start_char bigint, end_char bigint")

@@ -9,7 +9,7 @@ from conftest import rows
 from graphloom.llm.groups import connected_groups
 from graphloom.llm.leaks import leaked_items, reparameterised
 from graphloom.llm.names import name_groups, parse, same_name_pairs
-from graphloom.llm.sentences import code_like, fit_events, gap_table, sentence_units
+from graphloom.llm.sentences import code_like, fit_events, forward_backward, gap_table, sentence_units
 from graphloom.llm.tokenizer import WORD_PATTERN, Transducer, decode_texts, encode_texts, round_trip, transducer
 from graphloom.llm import vectors
 
@@ -318,6 +318,47 @@ def test_sentences_of_an_unpunctuated_script(spark):
     assert got[0] == [a, b, c]
 
 
+def test_unpunctuated_texts_are_cut_by_the_words_alone(spark):
+    people, things = ["sister", "brother", "neighbour", "teacher", "uncle"], ["lamp", "kettle", "ladder", "tent", "violin", "camera"]
+    rng = random.Random(6)
+    english = lambda: rng.choice([f"my {rng.choice(people)} sold the {rng.choice(things)} yesterday", f"we took the {rng.choice(things)} to the garage", f"please ask the {rng.choice(people)} about the {rng.choice(things)}"])
+    chinese = lambda: rng.choice([f"我昨天给{rng.choice('容竹岩安')}寄了{rng.choice('一二三四')}封信", f"请把{rng.choice('我你他')}的新地址记下来", f"这只猫叫{rng.choice('容竹岩安')}祁"])
+    filler = [" ".join(f"{english().capitalize()}." for _ in range(6)) for _ in range(60)] + ["".join(f"{chinese()}。" for _ in range(6)) for _ in range(60)]
+    plain, other = [english() for _ in range(5)], [chinese() for _ in range(4)]
+    got = sentences(spark, [" ".join(plain), "".join(other), "we took the lamp to the garage", *filler])
+    assert got[0] == plain and got[1] == other and got[2] == ["we took the lamp to the garage"]
+    assert len(got[3]) == 6 and len(got[70]) == 6
+
+
+def test_the_model_overrules_the_seeds(spark):
+    # The seeds don't know this abbreviation and take the dot before a capital for an end.
+    filler = [f"We read qvx. page {n} at home. The lamp is old." for n in "abcdefghijklmnopqrstuvwxyz"] * 2
+    got = sentences(spark, ["They met qvx. Tolma at home. We left.", *filler])
+    assert got[0] == ["They met qvx. Tolma at home.", "We left."]
+
+
+def test_forward_backward_is_exact_and_changes_decisions():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    emit, runs = rng.uniform(0.05, 0.95, 11), np.array([0] * 6 + [1] + [2] * 4)
+    link = rng.uniform(0.1, 2.0, (11, 2, 2))
+    got = forward_backward(emit, runs, link)
+    for run in range(3):
+        at = np.flatnonzero(runs == run)
+        total, yes = 0.0, np.zeros(len(at))
+        for states in product((0, 1), repeat=len(at)):
+            w = 1.0
+            for k, (i, x) in enumerate(zip(at, states)):
+                w *= (emit[i] if x else 1 - emit[i]) * (link[i][states[k - 1], x] if k else 1.0)
+            total += w
+            yes += w * np.array(states)
+        assert np.allclose(got[at], yes / total)
+    # Boundaries around one word repel each other: the weaker of two is given up.
+    repel = np.tile(np.array([[1.0, 1.0], [1.0, 0.05]]), (2, 1, 1))
+    assert (forward_backward(np.array([0.9, 0.6]), np.zeros(2, int), repel) >= 0.5).tolist() == [True, False]
+
+
 def test_sentences_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert rows(sentence_units(df)) == []
