@@ -112,6 +112,29 @@ def test_names_of_organisations_products_and_places(spark):
     assert any({"T.D.L.", "Taltonhal Digital Labs", "Taltonhal Digital Laboratories GmbH"} <= set(g) for g in got)
 
 
+def test_names_outside_any_list(spark, monkeypatch):
+    from graphloom.llm import names
+
+    monkeypatch.setattr(names, "SQUARE", 4)
+    pairs = [
+        ("Jonathan Smithson", "Jon Smithson"), ("Michael Carter", "Mike Carter"), ("Catherine Jones", "Cathy Jones"), ("Stephen Brown", "Steve Brown"), ("Robert Jones", "Bob Jones"),
+        ("Acme Holdings", "Acme Hldgs"), ("Globex Pharmaceuticals", "Globex Pharma"), ("Wayne Enterprises", "Wayne Entpr."), ("Jo Li", "Li Jo"), ("Ana Ruiz", "Anna Ruiz"), ("Anna Ng", "A. Ng"), ("Wqkzrom", "Wqkgrom"),
+    ]
+    apart = [("Peter Hollander", "Simon Hollander"), ("Anna Ng", "Anna Wu"), ("Acme Holdings", "Zenith Holdings"), ("Globex 84", "Globex 85")]
+    df = mentions(spark, [(f"c{i}", s, None) for i, pair in enumerate([*pairs, *apart]) for s in pair])
+    assert rows(same_name_pairs(df)) == sorted([(2 * i, 2 * i + 1) for i in range(len(pairs))], key=lambda t: [(False, str(x)) for x in t])
+
+
+def test_nicknames_are_learnt(spark):
+    full = "Wilhelmina Ambrosius Petronella Gudrunella Casimirus Leonidas Hortensius Bartholom".split()
+    short = "Tootsy Zbiggy Fofo Dudu Kuku Waxi Jojojo Quin".split()
+    surnames = [f"{a}{b}son" for a in ("Gram", "Tolk", "Virn", "Zemb", "Pralk", "Drov", "Humb", "Sklen") for b in ("ar", "ip", "ov", "en", "ul")]
+    items = [(f"c{i}", s, "person") for i, name in enumerate(surnames) for s in (f"{full[i % 8]} {name}", f"{full[i % 8]} {name}", f"{short[i % 8]} {name}")]
+    got = groups_of(spark, [*items, ("c0", f"Gundolf {surnames[0]}", "person")])
+    assert all(sorted((f"{full[i % 8]} {name}", f"{short[i % 8]} {name}")) in got for i, name in enumerate(surnames))
+    assert [f"Gundolf {surnames[0]}"] in got
+
+
 def test_names_stay_in_their_context_and_odd_rows_do_no_harm(spark):
     items = [("a", "Zirbus", "place"), ("b", "Zirbus", "place"), ("a", None, None), ("a", "", "org"), ("a", "  ", "org"), (None, "Zirbus", None), ("a", "!!!", None), ("a", "Zirbus", "Place"), ("a", "x" * 5000, None)]
     assert rows(same_name_pairs(mentions(spark, items))) == [(0, 7)]
