@@ -4,9 +4,10 @@ import datetime as dt
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from graphloom.operators.changes import apply_changes, current_drafts
-from graphloom.operators.history import draft_periods, reconstruct, validity_periods
+from graphloom.operators.history import draft_periods, reconstruct, store_history, validity_periods
 
 DRAFTS = (
     "delivery_id bigint, draft_id string, subject_id bigint, predicate_key string, action string, object_value string, observed_at bigint, "
@@ -100,8 +101,38 @@ def test_history_matches_folding_in_python_at_any_number_of_segments(spark):
                     held.append((key, p[1], stop, p[3]))
         expected += held
     df = spark.createDataFrame(patches, "k bigint, start bigint, own_end bigint, value string, removes boolean")
+    patches = [*patches, *[(None, *p[1:]) for p in patches if p[0] == 1]]
+    expected += [(None, *e[1:]) for e in expected if e[0] == 1]
+    df = spark.createDataFrame(patches, df.schema)
     for segments in (1, 7, 40):
         got = validity_periods(df, ["k"], segments=segments)
         assert rows(got, "k", "valid_from", "valid_to", "value") == sorted(expected, key=lambda t: [(x is None, str(x)) for x in t]), segments
-    at = reconstruct(validity_periods(df, ["k"]), 500)
-    assert sorted(r["k"] for r in at.collect()) == sorted(k for k, a, b, _ in expected if a <= 500 < b)
+    for segments in (1, 7):
+        stored = store_history(df, ["k"], [], segments)
+        assert segments == 1 or 0 < stored.checkpoints.count() < stored.patches.count()
+        for at in (0, 500, 2000):
+            got = rows(reconstruct(stored, at))
+            assert got == sorted([(k, v) for k, a, b, v in expected if a <= at < b], key=lambda t: [(x is None, str(x)) for x in t])
+        some = spark.createDataFrame([(1,), (77,)], "k bigint")
+        assert {r["k"] for r in reconstruct(stored, 500, some).collect()} <= {1}
+
+
+def test_a_long_history_gets_versions_and_a_short_one_none(spark, monkeypatch):
+    from graphloom.operators import history
+
+    monkeypatch.setattr(history, "VERSION_EVERY", 50)
+    rng = random.Random(3)
+    patches = [(1, rng.choice("abc"), t, None, str(t % 7), False) for t in rng.sample(range(5000), 600)] + [(k, "a", t, None, "x", False) for k in range(2, 30) for t in rng.sample(range(5000), 3)]
+    df = spark.createDataFrame(patches, "e bigint, a string, start bigint, own_end bigint, value string, removes boolean")
+    stored = store_history(df, ["e"], ["a"])
+    assert {r["e"] for r in stored.checkpoints.select("e").distinct().collect()} == {1}
+    assert 10 <= stored.spans.where("e = 1").count() <= 12 and stored.spans.where("e = 2").count() == 1
+    assert rows(validity_periods(df, ["e", "a"])) == rows(validity_periods(df, ["e", "a"], segments=1))
+
+
+def test_slices_are_found_in_two_steps(spark):
+    from graphloom.operators.history import slice_of
+
+    for bounds in ([], [5], list(range(0, 100, 7)), list(range(0, 1000, 3))):
+        got = spark.range(0, 1100, 9).select("id", slice_of(F.col("id"), bounds).alias("s")).collect()
+        assert all(r["s"] == sum(b < r["id"] for b in bounds) for r in got)
