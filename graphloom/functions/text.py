@@ -62,9 +62,19 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(zoned, bench)
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two number arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(a: Column) -> Column:
+    """The array divided by its norm; for vectors that are compared many times."""
+    norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.transform(a, lambda x: x.cast("double") / norm)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two number arrays; null where a length or norm doesn't allow it."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 

@@ -21,18 +21,18 @@ from graphloom.sources.graph import Graph
 class Match:
     """An immutable pattern over one graph; every step returns a new one."""
 
-    def __init__(self, graph: Graph, rows: DataFrame | None = None, nodes: frozenset = frozenset(), loaded: frozenset = frozenset()):
-        self.graph, self.rows, self.nodes, self.loaded = graph, rows, nodes, loaded
+    def __init__(self, graph: Graph, rows: DataFrame | None = None, nodes: frozenset = frozenset(), loaded: frozenset = frozenset(), labels: dict[str, tuple] | None = None):
+        self.graph, self.rows, self.nodes, self.loaded, self.labels = graph, rows, nodes, loaded, labels or {}
 
-    def _with(self, rows: DataFrame, *nodes: str) -> Match:
-        return Match(self.graph, rows, self.nodes | set(nodes), self.loaded)
+    def _with(self, rows: DataFrame, *nodes: str, labels: dict[str, tuple] | None = None) -> Match:
+        return Match(self.graph, rows, self.nodes | set(nodes), self.loaded, {**self.labels, **(labels or {})})
 
     def _vertices(self, labels: tuple[str, ...], properties: dict[str, object]) -> DataFrame:
         found = self.graph.vertices
         for label in labels:
             found = found.where(F.array_contains("labels", label))
         for name, value in properties.items():
-            found = found.where(equal(F.col(name), F.lit(value)))
+            found = found.where(equal(F.col(name), F.lit(value), found))
         return found
 
     def node(self, name: str, /, *labels: str, **properties: object) -> Match:
@@ -43,11 +43,12 @@ class Match:
         if not labels and not properties:
             raise ValueError("a node pattern needs a label or a property")
         ids = self._vertices(labels, properties).select(F.col("id").alias(name))
+        known = {name: (*self.labels.get(name, ()), *labels)}
         if self.rows is None:
-            return self._with(ids, name)
+            return self._with(ids, name, labels=known)
         if name not in self.nodes:
             raise ValueError(f"{name} is not connected to the pattern; use product() with a side of known size")
-        return self._with(self.rows.join(ids, name, "left_semi"), name)
+        return self._with(self.rows.join(ids, name, "left_semi"), name, labels=known)
 
     def ids(self, name: str, ids: DataFrame) -> Match:
         """Bind a node to given ids (column `id`) without checking that they exist."""
@@ -73,7 +74,7 @@ class Match:
             raise ValueError("exactly one relationship type is needed")
         edges = (parallel_edges(self.graph) if parallel else self.graph.edges).where(F.col("edge_type") == edge_type)
         for name, value in properties.items():
-            edges = edges.where(equal(F.col(name), F.lit(value)))
+            edges = edges.where(equal(F.col(name), F.lit(value), edges))
         a, b = ("dst", "src") if incoming else ("src", "dst")
         kept = [F.col(a).alias(src), F.col(b).alias(dst)]
         if rel:
@@ -98,33 +99,34 @@ class Match:
         small = other.rows.limit(most + 1)
         if small.count() > most:
             raise ValueError(f"the second pattern has more than {most} rows; connect the patterns instead")
-        return Match(self.graph, self.rows.crossJoin(F.broadcast(small)), self.nodes | other.nodes, self.loaded)
+        return Match(self.graph, self.rows.crossJoin(F.broadcast(small)), self.nodes | other.nodes, self.loaded | other.loaded, {**other.labels, **self.labels})
 
     def join(self, other: Match) -> Match:
         """Natural join of two patterns on the nodes they share."""
         shared = sorted(self.nodes & other.nodes)
         if not shared:
             raise ValueError("the patterns share no node")
-        return Match(self.graph, self.rows.join(other.rows, shared), self.nodes | other.nodes, self.loaded)
+        return Match(self.graph, self.rows.join(other.rows, shared), self.nodes | other.nodes, self.loaded, {n: (*self.labels.get(n, ()), *other.labels.get(n, ())) for n in {*self.labels, *other.labels}})
 
     def optional(self, step: Callable[[Match], Match]) -> Match:
         """Outer step: rows for which `step` (with its own conditions) finds nothing stay, with nulls for what it binds."""
         bound = sorted(self.nodes)
-        found = step(Match(self.graph, self.rows.select(*bound).distinct(), self.nodes))
+        found = step(Match(self.graph, self.rows.select(*bound).distinct(), self.nodes, labels=self.labels))
         fresh = [c for c in found.rows.columns if c not in bound]
         other = found.rows.select(*[F.col(f"`{c}`").alias(f"_k_{c}") for c in bound], *[F.col(f"`{c}`") for c in fresh])
         on = reduce(lambda x, y: x & y, [self.rows[c].eqNullSafe(other[f"_k_{c}"]) for c in bound])
         rows = self.rows.join(other, on, "left").drop(*[f"_k_{c}" for c in bound])
-        return Match(self.graph, rows, self.nodes | found.nodes, self.loaded)
+        return Match(self.graph, rows, self.nodes | found.nodes, self.loaded, self.labels)
 
     def load(self, name: str, /, *properties: str) -> Match:
         """Join vertex properties as columns `name.property`; null where the vertex or property is missing."""
         missing = [p for p in properties if f"{name}.{p}" not in self.loaded]
         if not missing:
             return self
-        columns = self.graph.vertices.select(F.col("id").alias(name), *[F.col(p).alias(f"{name}.{p}") for p in missing])
+        # Where the node's labels are known, only their vertices are read; the node has them, so none is lost.
+        columns = self._vertices(self.labels.get(name, ()), {}).select(F.col("id").alias(name), *[F.col(p).alias(f"{name}.{p}") for p in missing])
         rows = self.rows.join(columns, name, "left")
-        return Match(self.graph, rows, self.nodes, self.loaded | {f"{name}.{p}" for p in missing})
+        return Match(self.graph, rows, self.nodes, self.loaded | {f"{name}.{p}" for p in missing}, self.labels)
 
     def where(self, condition: Column) -> Match:
         """Keep rows for which a two-valued condition holds (a null condition counts as false)."""

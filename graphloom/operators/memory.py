@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import chunk_id, content_hash, parse_time, path_uuid
 from graphloom.operators.changes import OPEN_END_SECONDS
+from graphloom.operators.mutate import numbered
 
 #: Fixed values of the data model: scopes, memory types and actions, and the defaults for missing ones.
 SCOPES = ("session", "user", "chat", "global")
@@ -69,13 +70,9 @@ def register(keys: DataFrame, registry: DataFrame) -> DataFrame:
     keys: (node_kind, context_id, logical_key). New ids are numbered within hash ranges, as no task should see all keys.
     """
     fresh = keys.distinct().join(registry.select("node_kind", "context_id", "logical_key"), ["node_kind", "context_id", "logical_key"], "left_anti")
-    fresh = fresh.withColumn("_part", F.pmod(F.xxhash64("node_kind", "context_id", "logical_key"), F.lit(64)))
-    sizes = fresh.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     top = registry.agg(F.coalesce(F.max("graph_id"), F.lit(0)).alias("_top"))
-    rn = F.row_number().over(Window.partitionBy("_part").orderBy("node_kind", "context_id", "logical_key"))
-    new = fresh.withColumn("_rn", rn).join(F.broadcast(before), "_part").crossJoin(F.broadcast(top))
-    new = new.select((F.col("_top") + F.col("_before") + F.col("_rn")).alias("graph_id"), "node_kind", "context_id", "logical_key")
+    new = numbered(fresh, ["node_kind", "context_id", "logical_key"], "_number").crossJoin(F.broadcast(top))  # one row
+    new = new.select((F.col("_top") + F.col("_number")).alias("graph_id"), "node_kind", "context_id", "logical_key")
     return registry.select("graph_id", "node_kind", "context_id", "logical_key").unionByName(new)
 
 

@@ -31,19 +31,10 @@ def merge_edges(edges: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def create_relationships(relationships: DataFrame, batch: DataFrame, order: Sequence[str]) -> DataFrame:
-    """A new record for every row of the batch, its id from the greatest one on.
-
-    Numbers are given per hash partition of the batch, from counts of the partitions before it, so no task sees all rows.
-    """
-    parts = 64
-    rows = batch.withColumn("_part", F.pmod(F.xxhash64(*batch.columns), F.lit(parts)))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    """A new record for every row of the batch, its id from the greatest one on."""
     top = relationships.agg(F.coalesce(F.max("relationship_id"), F.lit(0)).alias("_top"))
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    numbered = numbered.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top))  # 64 rows and one row
-    fresh = numbered.withColumn("relationship_id", F.col("_top") + F.col("_before") + F.col("_rn")).drop("_part", "_rn", "_before", "_top")
-    return _union(relationships, fresh)
+    fresh = numbered(batch, order, "_number").crossJoin(F.broadcast(top))  # one row
+    return _union(relationships, fresh.withColumn("relationship_id", F.col("_top") + F.col("_number")).drop("_number", "_top"))
 
 
 def upsert_vertices(vertices: DataFrame, batch: DataFrame) -> DataFrame:
@@ -113,22 +104,61 @@ def delete_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return edges.join(keys.select(*EDGE).distinct(), EDGE, "left_anti")
 
 
+def delete_edges_with_records(edges: DataFrame, relationships: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, relationships) without the given edges: the records of an edge go with it."""
+    return delete_edges(edges, keys), delete_edges(relationships, keys)
+
+
+def merge_relationships(relationships: DataFrame, batch: DataFrame, key: str = "relationship_id") -> DataFrame:
+    """Records by their id: a new id is inserted, a known one keeps its ends and gets the batch's present values (SET).
+
+    A batch row with another type or other ends than the stored record raises; of rows of one id, the greatest counts.
+    """
+    values = [c for c in batch.columns if c != key]
+    new = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*values)).alias("_new"))
+    both = relationships.withColumn("_old", F.lit(True)).join(new, key, "full")
+    moved = F.col("_old").isNotNull() & F.col("_new").isNotNull() & reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_new.{c}")) for c in EDGE])
+    bad = F.raise_error(F.concat(F.lit("relationship has other ends: "), F.col(key).cast("string"))).cast("boolean")
+    checked = both.where(F.when(moved, bad).otherwise(F.lit(True)))
+    return checked.select(*[F.coalesce(f"_new.{c}", c).alias(c) if c in values else F.col(c) for c in relationships.columns])
+
+
+#: Rows that one task numbers at most, about; the number of hash parts grows with the rows.
+NUMBERED_ROWS = 1_000_000
+
+
+def numbered(rows: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """rows with consecutive numbers from 1 on, given within hash parts from counts of the parts before, so no task sees
+    all rows. The sizes, one row a part, are a small table that is joined, not collected."""
+    parts = max(64, -(-rows.count() // NUMBERED_ROWS))
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inner = parted.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return inner.join(before, "_part").withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_rn", "_before")
+
+
 def delete_relationships(relationships: DataFrame, name: str, values: DataFrame) -> DataFrame:
     """Without the records whose property is among the values."""
     return relationships.join(values.select(name).distinct(), name, "left_anti")
 
 
-def delete_vertices(vertices: DataFrame, edges: DataFrame, ids: DataFrame, detach: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) without the given ids. Without detach, incident edges of a deleted vertex raise."""
+def delete_vertices(
+    vertices: DataFrame, edges: DataFrame, ids: DataFrame, detach: bool = False, relationships: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(vertices, edges, relationships) without the given ids. detach takes incident edges and relationship records along;
+    without it, incident edges of a deleted vertex raise."""
     gone = ids.select("id").where("id is not null").distinct()
     if detach:
         for end in ("src", "dst"):
             edges = edges.join(gone.select(F.col("id").alias(end)), end, "left_anti")
-        return vertices.join(gone, "id", "left_anti"), edges
+            if relationships is not None:
+                relationships = relationships.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+        return vertices.join(gone, "id", "left_anti"), edges, relationships
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).join(gone, "id", "left_semi").distinct()
     blocked = gone.join(ends.withColumn("_used", F.lit(True)), "id", "left")
     checked = blocked.select(F.when(F.col("_used"), F.raise_error(F.concat(F.lit("vertex has edges: "), F.col("id").cast("string")))).otherwise(F.col("id")).alias("id"))
-    return vertices.join(checked, "id", "left_anti"), edges
+    return vertices.join(checked, "id", "left_anti"), edges, relationships
 
 
 def between_labels(batch: DataFrame, vertices: DataFrame, src_label: str, dst_label: str) -> DataFrame:

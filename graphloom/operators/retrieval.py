@@ -47,20 +47,30 @@ def entity_boost(terms, question_terms, facts):
     return F.when(F.arrays_overlap(terms, question_terms) & (facts > 0), F.least(0.5 / facts, F.lit(0.5))).otherwise(0.0)
 
 
+#: English words that a text search leaves out.
+STOP_WORDS = (
+    "the and for are but not you all any can had her was one our out has him his how its may new now old see two who did get she too use that this with from they have were been "
+    "what when where which while will would your about after before into over than then them there these their those does just only some such very"
+).split()
+#: Parts that a term's rows are spread over, so that one which a third of the texts has isn't one task.
+TERM_SALTS = 8
+
+
 def keyword_matches(questions: DataFrame, texts: DataFrame) -> DataFrame:
-    """question_id, fact_id, rank, keyword_score by inverse-frequency weighted term matches.
+    """question_id, fact_id, rank, keyword_score by inverse-frequency weighted term matches (an OR of all terms).
 
-    questions: (question_id, text); texts: (fact_id, text). An inverted index join: terms meet on an equi-join; weights
-    come from counts over all texts. A term that occurs in more than a tenth of at least ten texts tells nothing and is
-    no key, like stop words of a text search.
+    questions: (question_id, text); texts: (fact_id, text). An inverted index join: terms meet on a salted equi-join; weights
+    come from counts over all texts. Only a fixed list of stop words is left out; a frequent term weighs little but counts.
     """
-    terms = lambda df, key: df.select(key, F.explode(entity_terms(F.col("text"))).alias("term"))
-    index = terms(texts, "fact_id")
+    terms = lambda df, key: df.select(key, F.explode(F.array_except(entity_terms(F.col("text")), F.array(*map(F.lit, STOP_WORDS)))).alias("term"))
+    asked = terms(questions, "question_id")
+    index = terms(texts, "fact_id").join(asked.select("term").distinct(), "term", "left_semi")
     total = texts.agg(F.count(F.lit(1)).alias("_total"))
-    weights = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
-    weights = weights.where("df <= greatest(10, _total / 10)").select("term", F.log(1 + F.col("_total") / F.col("df")).alias("w"))
-    asked = terms(questions, "question_id").join(weights, "term")
-    hits = asked.join(index, "term").groupBy("question_id", "fact_id").agg(F.sum("w").alias("rank"))
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))  # one row
+    weighed = asked.join(counts.select("term", F.log(1 + F.col("_total") / F.col("df")).alias("w")), "term")
+    salted = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
+    index = index.withColumn("_salt", F.pmod(F.xxhash64("fact_id"), F.lit(TERM_SALTS)).cast("int"))
+    hits = salted.join(index, ["term", "_salt"]).groupBy("question_id", "fact_id").agg(F.sum("w").alias("rank"))
     return hits.withColumn("keyword_score", keyword_score(F.col("rank")))
 
 
@@ -100,6 +110,49 @@ def abstains(semantic, keyword, structural, semantic_least: float = 0.5, keyword
     return (F.coalesce(semantic, F.lit(0.0)) < semantic_least) & (F.coalesce(keyword, F.lit(0.0)) < keyword_least) & (F.coalesce(structural, F.lit(0.0)) == 0)
 
 
+#: Fixed value: questions about a period look this far around it.
+BUFFER_SECONDS = 2 * 86_400
+
+
+def expanded(seeded: DataFrame, about: DataFrame, asked_at: DataFrame) -> DataFrame:
+    """question_id, fact_id, scores, entity_id (null where a fact has none) of seeds that were known and valid when asked.
+
+    about: (fact_id, entity_id); asked_at: (question_id, asked_at in epoch seconds); seeded has observed_at, superseded_at,
+    valid_from and valid_to. A missing end restricts nothing; two days around the question are allowed.
+    """
+    rows = seeded.join(asked_at, "question_id", "left")
+    known = visible_at(F.col("observed_at"), F.col("superseded_at") + BUFFER_SECONDS, F.col("asked_at") + BUFFER_SECONDS)
+    valid = visible_at(F.col("valid_from"), F.col("valid_to") + BUFFER_SECONDS, F.col("asked_at") + BUFFER_SECONDS)
+    kept = rows.where(F.col("asked_at").isNull() | (known & valid))
+    return kept.join(about.select("fact_id", "entity_id").distinct(), "fact_id", "left")
+
+
+def composite(expanded_seeds: DataFrame, entity_terms_of: DataFrame, question_terms: DataFrame, semantic_least: float = 0.5, keyword_least: float = 0.5) -> DataFrame:
+    """question_id, fact_id, the four channels' ranks, structural_score, entity_boost, composite_score, position, abstains.
+
+    expanded_seeds: (question_id, fact_id, semantic_score, keyword_score, entity_id), a row for each entity of a fact;
+    entity_terms_of: (entity_id, terms); question_terms: (question_id, asked). Facts are ranked in each channel by scores
+    above 0, ranks are fused, ties go to the smaller fact_id. A question abstains where its best fact is weak in the
+    semantic and keyword channels and has no path.
+    """
+    facts = expanded_seeds.select("question_id", "fact_id", "semantic_score", "keyword_score").distinct()
+    links = expanded_seeds.where("entity_id is not null").select("question_id", "fact_id", "entity_id").distinct()
+    sizes = links.groupBy("question_id", "entity_id").agg(F.count(F.lit(1)).alias("facts"))
+    linked = links.join(sizes, ["question_id", "entity_id"]).join(entity_terms_of, "entity_id", "left").join(question_terms, "question_id", "left")
+    boost = F.coalesce(entity_boost(F.col("terms"), F.col("asked"), F.col("facts")), F.lit(0.0))
+    per = linked.groupBy("question_id", "fact_id").agg(F.sum(F.col("facts") - 1).alias("paths"), F.max(boost).alias("entity_boost"))
+    scored = facts.join(per, ["question_id", "fact_id"], "left")
+    scored = scored.withColumn("structural_score", structural_score(F.lit(2), F.coalesce("paths", F.lit(0)))).fillna({"entity_boost": 0.0}).drop("paths")
+    channels = {"semantic_score": "semantic_rank", "keyword_score": "keyword_rank", "structural_score": "structural_rank", "entity_boost": "entity_rank"}
+    out = scored
+    for score, rank in channels.items():
+        out = out.join(channel_ranks(scored, score, rank).select("question_id", "fact_id", rank), ["question_id", "fact_id"], "left")
+    w = Window.partitionBy("question_id").orderBy(F.round("composite_score", 12).desc(), "fact_id")
+    ranked = fused(out, list(channels.values())).withColumn("position", F.row_number().over(w))
+    weak = abstains(F.col("semantic_score"), F.col("keyword_score"), F.col("structural_score"), semantic_least, keyword_least)
+    return ranked.withColumn("abstains", F.first(weak).over(w))
+
+
 def top_facts(ranked: DataFrame, k: int) -> DataFrame:
     """The k best facts of each question by composite_score, then fact_id, with `position`."""
     w = Window.partitionBy("question_id").orderBy(F.col("composite_score").desc(), "fact_id")

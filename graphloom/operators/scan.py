@@ -25,7 +25,7 @@ def with_labels(vertices: DataFrame, *labels: str) -> DataFrame:
 
 
 def with_property(vertices: DataFrame, name: str, value: object) -> DataFrame:
-    return vertices.where(equal(F.col(name), F.lit(value)))
+    return vertices.where(equal(F.col(name), F.lit(value), vertices))
 
 
 def with_prefix(vertices: DataFrame, name: str, prefix: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,12 @@ def label_counts(vertices: DataFrame) -> DataFrame:
 
 
 def digest(edges: DataFrame) -> DataFrame:
-    """edge_type, edges, edge_digest, out_digest, in_digest: order-free checksums of the edge set and its degree maps."""
+    """edge_type, edges, edge_digest, out_digest, in_digest: order-free checksums of the edge set and its degree maps, the
+    sums of 32 bits of SHA-256 of each entry as decimal text."""
+    total = lambda *of: F.sum(F.conv(F.substring(F.sha2(F.concat_ws(",", *of), 256), 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
     pairs = edges.select("edge_type", "src", "dst").distinct()
-    base = pairs.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), F.bit_xor(F.xxhash64("src", "dst")).alias("edge_digest"))
-    side = lambda incoming, name: degrees(pairs, incoming).groupBy("edge_type").agg(F.bit_xor(F.xxhash64("vertex", "degree")).alias(name))
+    base = pairs.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges"), total("src", "dst").alias("edge_digest"))
+    side = lambda incoming, name: degrees(pairs, incoming).groupBy("edge_type").agg(total("vertex", "degree").alias(name))
     return base.join(side(False, "out_digest"), "edge_type").join(side(True, "in_digest"), "edge_type")
 
 
@@ -54,9 +58,16 @@ def dangling_ends(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return ends.select("edge_type", "e.end", "e.id").distinct().join(vertices.select("id"), "id", "left_anti").groupBy("edge_type", "end").agg(F.count(F.lit(1)).alias("n"))
 
 
+def traversals(edges: DataFrame, edge_type: str, starts: DataFrame, hops: int) -> DataFrame:
+    """v, by_levels, by_walks: the hop of each vertex by breadth-first search and its shortest walk, the starts left out."""
+    levels = bfs(starts, edges, edge_type, hops)
+    levels = levels.select("v", F.col("hop").alias("by_levels"))
+    roots = starts.select(F.col("v").alias("root"))
+    walks = [walks_from(roots, edges, edge_type, h, h).select("v", F.lit(h).alias("hop")).distinct() for h in range(1, hops + 1)]
+    shortest = reduce(DataFrame.unionByName, walks).groupBy("v").agg(F.min("hop").alias("by_walks")).join(starts.select("v"), "v", "left_anti")
+    return levels.join(shortest, "v", "full")
+
+
 def traversal_check(edges: DataFrame, edge_type: str, starts: DataFrame, hops: int) -> DataFrame:
-    """v, by_levels, by_walks where breadth-first levels and the union of walks disagree; none for a sound pair."""
-    levels = bfs(starts, edges, edge_type, hops).select("v", F.lit(True).alias("by_levels"))
-    walks = walks_from(starts.select(F.col("v").alias("root")), edges, edge_type, 1, hops).select("v").distinct().join(starts.select("v"), "v", "left_anti")
-    both = levels.join(walks.withColumn("by_walks", F.lit(True)), "v", "full")
-    return both.where("by_levels is null or by_walks is null").select("v", F.coalesce("by_levels", F.lit(False)).alias("by_levels"), F.coalesce("by_walks", F.lit(False)).alias("by_walks"))
+    """The rows of traversals() that disagree; none for a sound pair."""
+    return traversals(edges, edge_type, starts, hops).where(~F.col("by_levels").eqNullSafe(F.col("by_walks")))

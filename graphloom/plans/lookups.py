@@ -12,10 +12,6 @@ from graphloom.sources.graph import memory_graph, order_graph
 from graphloom.sources.tables import table
 
 
-#: A vertex with many turns in the 0.01 tables.
-HUB = 142757
-
-
 def s01_id_seek(spark: SparkSession, d: str) -> DataFrame:
     ends = memory_graph(spark, d).edges.where("edge_type = 'MERGED_INTO'").select(F.col("dst").alias("id"))
     return scan.seek(ends, table(spark, d, "vertices").select("id", "logical_key")).distinct()
@@ -42,17 +38,21 @@ def s06_edge_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s08_edge_property(spark: SparkSession, d: str) -> DataFrame:
-    r = memory_graph(spark, d).relationships
-    return r.where((F.col("edge_type") == "ABOUT") & P.equal(F.col("cell_id"), F.lit("cell-04"))).select("src", "dst").distinct()
+    return Match(memory_graph(spark, d)).expand("f", "ABOUT", "e", parallel=True, cell_id="cell-04").returns(distinct=True, src="f", dst="e")
 
 
 def s09_relationship_property(spark: SparkSession, d: str) -> DataFrame:
-    r = memory_graph(spark, d).relationships
-    return r.where((F.col("edge_type") == "STATED_BY") & F.col("cell_id").isin("cell-01", "cell-02", "cell-04")).select("relationship_id", "src", "dst", "cell_id")
+    """Records with one of several values: an OR of equalities on a bound relationship."""
+    m = Match(memory_graph(spark, d)).expand("f", "STATED_BY", "a", rel="r", parallel=True)
+    wanted = [P.equal(prop("r", "cell_id"), F.lit(c), m.rows) for c in ("cell-01", "cell-02", "cell-04")]
+    return m.where(wanted[0] | wanted[1] | wanted[2]).returns(relationship_id="r.relationship_id", src="f", dst="a", cell_id="r.cell_id")
 
 
 def s10_out_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return scan.neighbours(memory_graph(spark, d).edges, "HAS_TURN", HUB)
+    """Neighbours of the vertex with most turns."""
+    e = memory_graph(spark, d).edges
+    hub = scan.degrees(e.where("edge_type = 'HAS_TURN'")).orderBy(F.col("degree").desc(), "vertex").first()
+    return scan.neighbours(e, "HAS_TURN", hub["vertex"] if hub else -1)
 
 
 def s11_in_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +116,13 @@ def p02_exact_numbers(spark: SparkSession, d: str) -> DataFrame:
     return o.where(P.equal_number(F.col("l_partkey"), F.col("l_quantity"))).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+def p02_mixed_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Equality over kinds: text never equals a number, a bigint equals a double by its exact value."""
+    o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    text = P.equal(F.col("l_linenumber").cast("string"), F.col("l_linenumber"), o) | ~P.unequal(F.col("l_returnflag"), F.col("l_quantity"), o)
+    return o.where(~text & P.less_equal(F.col("l_linenumber"), F.col("l_quantity"), o)).select("l_orderkey", "l_linenumber", P.equal(F.col("l_linenumber"), F.col("l_quantity"), o).alias("same"))
+
+
 def p06_chain(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     return o.where(P.between_chain(F.lit(1000.0), F.col("o_totalprice"), F.lit(50000.0))).select("o_orderkey", "o_totalprice")
@@ -132,7 +139,7 @@ def o08_page(spark: SparkSession, d: str) -> DataFrame:
     return window(rows, [F.col("f").asc(), F.col("e").asc()], skip=64, limit=65)
 
 
-NAMES = "s01_id_seek s02_label_scan s03_property_scan s04_prefix_scan s05_ordered_prefix_top s06_edge_scan s08_edge_property s09_relationship_property s10_out_neighbours s11_in_neighbours s12_out_batch s13_in_batch s15_exists_batch s16_degrees s18_segments j02_properties j04_distinct p01_two_valued p02_unequal p02_exact_numbers p06_chain o02_null_order o08_page"
+NAMES = "s01_id_seek s02_label_scan s03_property_scan s04_prefix_scan s05_ordered_prefix_top s06_edge_scan s08_edge_property s09_relationship_property s10_out_neighbours s11_in_neighbours s12_out_batch s13_in_batch s15_exists_batch s16_degrees s18_segments j02_properties j04_distinct p01_two_valued p02_unequal p02_exact_numbers p02_mixed_kinds p06_chain o02_null_order o08_page"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 EDGES = "edges as (select distinct edge_type, src, dst from edge_mutations where src is not null and dst is not null and edge_type is not null)"
@@ -160,7 +167,7 @@ SQL = {
     "s06_edge_scan": f"with {EDGES} select * from edges where edge_type = 'ABOUT'",
     "s08_edge_property": "select distinct src, dst from edge_mutations where edge_type = 'ABOUT' and cell_id = 'cell-04' and src is not null and dst is not null",
     "s09_relationship_property": "select mutation_id as relationship_id, src, dst, cell_id from edge_mutations where edge_type = 'STATED_BY' and cell_id in ('cell-01', 'cell-02', 'cell-04') and src is not null and dst is not null",
-    "s10_out_neighbours": f"with {EDGES} select distinct dst from edges where edge_type = 'HAS_TURN' and src = {HUB}",
+    "s10_out_neighbours": f"with {EDGES}, h as (select src from edges where edge_type = 'HAS_TURN' group by src order by count(*) desc, src limit 1) select distinct dst from edges where edge_type = 'HAS_TURN' and src in (select src from h)",
     "s11_in_neighbours": f"with {EDGES} select distinct src from edges where edge_type = 'STATED_BY' and dst = 1",
     "s12_out_batch": f"""with {EDGES}, n as (select src, string_agg(dst::varchar, ',' order by dst) as l from edges where edge_type = 'ABOUT' group by src)
 select m.mutation_id as position, m.src as vertex, coalesce(n.l, '') as neighbours from edge_mutations m left join n on n.src = m.src where m.edge_type = 'SUPERSEDES'""",
@@ -177,6 +184,7 @@ and not exists (select 1 from edge_mutations b where b.cell_id = 'cell-04' and b
     "p01_two_valued": "select id from vertices where not coalesce(active = true, false) and not coalesce(starts_with(logical_key, 'turn:'), false)",
     "p02_unequal": "select id from vertices where coalesce(active <> true, false) or coalesce(context_id <> 'ctx-04040404', false)",
     "p02_exact_numbers": "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey = l_quantity",
+    "p02_mixed_kinds": "select l_orderkey, l_linenumber, l_linenumber = l_quantity as same from lineitem where l_linenumber <= l_quantity",
     "p06_chain": "select o_orderkey, o_totalprice from orders where o_totalprice > 1000 and o_totalprice < 50000",
     "o02_null_order": "select id, context_id, active from vertices order by active desc nulls first, context_id asc nulls last, id limit 200 offset 20",
     "o08_page": f"with {EDGES} select v.id as f, e.dst as e from vertices v join edges e on e.src = v.id and e.edge_type = 'ABOUT' where list_contains(v.labels, 'Fact') order by f, e limit 65 offset 64",

@@ -55,8 +55,8 @@ def n13_parallel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def n14_parallel_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = parallel_edges(memory_graph(spark, d)).where((F.col("edge_type") == "RELATES_TO") & P.equal(F.col("cell_id"), F.lit("cell-00")))
-    return rows.select("src", "dst", "relationship_id")
+    m = Match(memory_graph(spark, d)).expand("a", "RELATES_TO", "b", rel="r", parallel=True, cell_id="cell-00")
+    return m.returns(src="a", dst="b", relationship_id="r.relationship_id")
 
 
 def n17_joined_results(spark: SparkSession, d: str) -> DataFrame:
@@ -113,10 +113,10 @@ NAMES = "n01_two_groups n02_natural_join n07_expand_in n08_expand_into n09_optio
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 SQL = {
-    "n01_two_groups": f"""with {TYPED} select c.id as c, o.id as o, p.id as p from nodes c join links a on a.edge_type = 'PLACED' and a.src = c.id join nodes o on o.id = a.dst
-join links b on b.edge_type = 'CONTAINS' and b.src = o.id join nodes p on p.id = b.dst where c.label = 'Customer' and o.amount > 100000 and p.amount < 1000""",
-    "n02_natural_join": f"""with {TYPED} select c.id as c, o.id as o, b.dst as p from nodes c join links a on a.edge_type = 'PLACED' and a.src = c.id join nodes o on o.id = a.dst
-join links b on b.edge_type = 'CONTAINS' and b.src = o.id where c.label = 'Customer' and c.name = 'MACHINERY' and o.label = 'Order' and o.name = 'F'""",
+    "n01_two_groups": """select distinct 3000000000000 + o_custkey as c, 6000000000000 + o_orderkey as o, 5000000000000 + l_partkey as p from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey
+where o_custkey in (select c_custkey from customer) and o_totalprice > 100000 and p_retailprice < 1000""",
+    "n02_natural_join": """select distinct 3000000000000 + c_custkey as c, 6000000000000 + o_orderkey as o, 5000000000000 + l_partkey as p from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey
+where c_mktsegment = 'MACHINERY' and o_orderstatus = 'F'""",
     "n07_expand_in": f"with {EDGES} select v.id as e, e.src as f from vertices v join edges e on e.edge_type = 'ABOUT' and e.dst = v.id where list_contains(v.labels, 'Entity')",
     "n08_expand_into": f"""with {EDGES}, s as (select * from edges where edge_type = 'SUPERSEDES') select x.src as a, x.dst as b, y.dst as c from s x join s y on y.src = x.dst
 join s z on z.src = x.src and z.dst = y.dst join vertices v on v.id = x.src where list_contains(v.labels, 'Fact')""",

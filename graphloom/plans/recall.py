@@ -38,7 +38,7 @@ def f07_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f08_plain_surface(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "extracted_entities").where("surface rlike '^[ -~]*$'")
+    rows = table(spark, d, "extracted_entities")
     return rows.select("mention_id", X.plain_surface(F.col("surface")).alias("surface"))
 
 
@@ -62,9 +62,11 @@ def f12_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f13_visible(spark: SparkSession, d: str) -> DataFrame:
+    """Facts known and valid at one instant; a later change of the same attribute ends what was known."""
     facts = memory.with_defaults(table(spark, d, "extracted_drafts"))
     seen = table(spark, d, "extracted_drafts").select("delivery_id", "observed_at")
-    rows = facts.join(seen, "delivery_id").withColumn("superseded_at", F.lit(None).cast("bigint"))
+    closed = memory.superseded(draft_changes(table(spark, d, "extracted_drafts"))).select("draft_id", "superseded_at")
+    rows = facts.join(seen, "delivery_id").join(closed, "draft_id", "left")
     return retrieval.visible(rows, F.lit(1_735_689_600)).select("delivery_id")
 
 
@@ -101,7 +103,10 @@ def g07_registry(spark: SparkSession, d: str) -> DataFrame:
     keys = v.select(F.split("logical_key", ":")[0].alias("node_kind"), "context_id", "logical_key")
     old = v.where("id % 2 = 0").select(F.col("id").alias("graph_id"), F.split("logical_key", ":")[0].alias("node_kind"), "context_id", "logical_key")
     out = memory.register(keys.where("context_id is not null"), old.where("context_id is not null"))
-    return out.groupBy("node_kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("graph_id").alias("ids"))
+    # New ids are any numbers above the old ones.
+    top = old.agg(F.max("graph_id").alias("top"))
+    marked = out.crossJoin(F.broadcast(top))  # one row
+    return marked.select("node_kind", "context_id", "logical_key", F.when(F.col("graph_id") <= F.col("top"), F.col("graph_id")).alias("graph_id"))
 
 
 def g08_plan_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -118,12 +123,13 @@ def g09_superseded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g13_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "fact_embeddings").where("fact_id is not null and size(embedding) = 96 and is_active")
-    one = rows.groupBy("fact_id", "model_version").agg(F.count_distinct("embedding").alias("n")).where("n = 1").select("fact_id", "model_version")
-    rows = rows.join(one, ["fact_id", "model_version"], "left_semi")
-    store = rows.where("is_active and fact_id % 2 = 0").select("fact_id", "model_version", "embedding", "is_active").distinct()
-    out = memory.upsert_embeddings(store, rows.where("is_active").select("fact_id", "model_version", "embedding"))
-    return out.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_active"), 1)).alias("active"))
+    """The greatest vector of a fact and model upserted over the least one of any state: where they differ, it is replaced."""
+    rows = table(spark, d, "fact_embeddings").where("fact_id is not null and model_version is not null and size(embedding) = 96")
+    rows = rows.where("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    pick = lambda best: rows.groupBy("fact_id", "model_version").agg(best("embedding").alias("embedding"))
+    store = pick(F.min).where("fact_id % 2 = 0").withColumn("is_active", F.lit(True))
+    out = memory.upsert_embeddings(store, pick(F.max))
+    return out.select("fact_id", "model_version", "is_active", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(F.col("embedding")[95].cast("double"), 6).alias("last"))
 
 
 def g17_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -167,14 +173,15 @@ SQL = {
 select probe, vec_id, list_cosine_similarity(embedding::double[], p) as cos from embeddings join p using (label) where vec_id <> probe)
 select probe, vec_id, round(cos, 6) as cos, round(1 / (2 - cos), 6) as score from s""",
     "f07_keyword": f"""with i as (select doc_id as fact_id, unnest({_TERMS.format('text')}) as term from documents), q as (select item_id as question_id, unnest({_TERMS.format('question')}) as term from eval_items),
-w as (select term, ln(1 + (select count(*) from documents) / count(*)) as w from i group by term having count(*) <= greatest(10, (select count(*) from documents) / 10)),
+w as (select term, ln(1 + (select count(*) from documents) / count(*)) as w from i where term not in ({", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)}) group by term),
 h as (select question_id, fact_id, sum(w) as rank from q join w using (term) join i using (term) group by all) select question_id, fact_id, round(rank, 6) as rank, round(rank / (1 + rank), 6) as keyword_score from h""",
-    "f08_plain_surface": "select mention_id, lower(trim(regexp_replace(surface, '\\s+', ' ', 'g'))) as surface from extracted_entities where regexp_full_match(surface, '[ -~]*')",
+    "f08_plain_surface": "select mention_id, lower(trim(regexp_replace(surface, '\\s+', ' ', 'g'))) as surface from extracted_entities",
     "f09_terms": f"select delivery_id, array_to_string(list_sort({_TERMS.format('memory_text')}), ',') as terms from extracted_drafts",
     "f10_hashes": """with h as (select distinct record_id, 'sha256:' || sha256(content) as hash, sha256(context_id || '/' || record_id) as x from context_records where context_id is not null and record_id is not null)
 select record_id, hash, x[1:8] || '-' || x[9:12] || '-' || x[13:16] || '-' || x[17:20] || '-' || x[21:32] as uuid from h""",
     "f12_times": f"select distinct record_id, occurred_at, {_TIME} as seconds from context_records",
-    "f13_visible": """select delivery_id from extracted_drafts where (observed_at is null or observed_at <= 1735689600) and coalesce(cast(floor(epoch(valid_from)) as bigint), 0) <= 1735689600
+    "f13_visible": f"""with {_CHANGES}, n as (select draft_id, lead(observed_at) over (partition by subject_id, predicate_key order by observed_at, turn_index, draft_id) as superseded_at from changes)
+select delivery_id from extracted_drafts left join n using (draft_id) where (superseded_at is null or superseded_at >= 1735689600) and (observed_at is null or observed_at <= 1735689600) and coalesce(cast(floor(epoch(valid_from)) as bigint), 0) <= 1735689600
 and coalesce(cast(floor(epoch(valid_to)) as bigint), 9999999999) >= 1735689600 and coalesce(not (coalesce(lower(trim(scope_type)), 'user') = 'chat' and observed_at < 1735689600 - 86400), true)""",
     "f18_spans": """select delivery_id, case when length(object_value) > 0 and instr(memory_text, object_value) > 0 then instr(memory_text, object_value) - 1 else 0 end::int as start,
 case when length(object_value) > 0 and instr(memory_text, object_value) > 0 then instr(memory_text, object_value) - 1 + length(object_value) else length(memory_text) end::int as "end" from extracted_drafts""",
@@ -188,8 +195,8 @@ when observed_at is null then 'no_time' when valid_from > valid_to then 'ends_be
 case when upper(trim(coalesce(action, ''))) = '' then 'ADD' else upper(trim(action)) end as action, coalesce(cast(floor(epoch(valid_from)) as bigint), 0) as valid_from, coalesce(cast(floor(epoch(valid_to)) as bigint), 9999999999) as valid_to from extracted_drafts""",
     "g07_registry": """with v as (select distinct split_part(logical_key, ':', 1) as node_kind, context_id, logical_key from vertices where logical_key is not null and context_id is not null),
 o as (select distinct id, split_part(logical_key, ':', 1) as node_kind, context_id, logical_key from vertices where logical_key is not null and context_id is not null and id % 2 = 0),
-x as (select node_kind, id::varchar as i from o union all select node_kind, logical_key || context_id from v where (node_kind, context_id, logical_key) not in (select (node_kind, context_id, logical_key) from o))
-select node_kind, count(*) as n, count(distinct i) as ids from x group by node_kind""",
+x as (select node_kind, context_id, logical_key, id as graph_id from o union all select node_kind, context_id, logical_key, null from v where (node_kind, context_id, logical_key) not in (select (node_kind, context_id, logical_key) from o))
+select node_kind, context_id, logical_key, graph_id from x""",
     "g08_plan_edges": f"""with {_CHUNKS}, k as (select distinct f.context_id, draft_id, record_id, c.r.a as actor_role from extracted_drafts f join c on c.context_id = f.context_id and c.record_id = f.source_record_id where draft_id is not null)
 select distinct 'HAS_TURN' as edge_type, context_id, 'session:' || r.s as src_key, 'turn:' || record_id as dst_key from c where r.s is not null
 union all select distinct 'EXTRACTED_FROM', context_id, 'fact:' || draft_id, 'turn:' || record_id from k
@@ -198,7 +205,10 @@ union all select distinct 'STATED_BY', context_id, 'fact:' || draft_id, 'actor:'
 union all select distinct 'Turn', context_id, 'turn:' || record_id from c union all select distinct 'Fact', context_id, 'fact:' || draft_id from extracted_drafts where draft_id is not null""",
     "g09_superseded": f"""with {_CHANGES}, n as (select draft_id, lead(observed_at) over w as superseded_at, lead(action) over w as next_action from changes window w as (partition by subject_id, predicate_key order by observed_at, turn_index, draft_id))
 select draft_id, superseded_at, case when next_action = 'DELETE' then 'CORRECTION' else 'STATE_CHANGE' end as kind from n where superseded_at is not null""",
-    "g13_embeddings": """with d as (select fact_id, model_version from fact_embeddings where fact_id is not null and model_version is not null and len(embedding) = 96 and is_active group by all having count(distinct embedding) = 1) select fact_id, count(*) as n, count(*) as active from d group by fact_id""",
+    "g13_embeddings": """with r as (select fact_id, model_version, min(embedding) as a, max(embedding) as z from fact_embeddings where fact_id is not null and model_version is not null and len(embedding) = 96
+and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by all),
+o as (select fact_id, model_version, a = z as is_active, a as e from r where fact_id % 2 = 0 union all select fact_id, model_version, true, z from r where fact_id % 2 <> 0 or a <> z)
+select fact_id, model_version, is_active, round(e[1]::double, 6) as first, round(e[96]::double, 6) as last from o""",
     "g17_expansion": f"with {EDGES}, {_SCORED} select s.question_id, s.fact_id, e.dst as entity_id from s left join edges e on e.edge_type = 'ABOUT' and e.src = s.fact_id",
     "g18_bridges": f"""with {EDGES}, a as (select src % 500 as question_id, src as fact_id, dst as entity_id from edges where edge_type = 'ABOUT')
 select a.question_id, a.fact_id, 2 as hops, count(*) as paths from a join a b on b.question_id = a.question_id and b.entity_id = a.entity_id and b.fact_id <> a.fact_id group by a.question_id, a.fact_id""",

@@ -26,7 +26,10 @@ def m01_create(spark: SparkSession, d: str) -> DataFrame:
     old, new = _halves(spark, d)
     records = old.select("edge_type", "src", "dst", F.col("mutation_id").alias("relationship_id"))
     out = mutate.create_relationships(records, new.select("edge_type", "src", "dst", "mutation_id"), ["mutation_id"])
-    return out.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relationship_id").alias("ids"), F.count("mutation_id").alias("created"))
+    # New ids are any numbers above the old ones, so a new record shows the mutation that it comes from.
+    top = records.agg(F.max("relationship_id").alias("top"))
+    marked = out.crossJoin(F.broadcast(top))  # one row
+    return marked.select("edge_type", "src", "dst", F.coalesce("mutation_id", "relationship_id").alias("record"), (F.col("relationship_id") > F.col("top")).alias("created"))
 
 
 def m02_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -53,8 +56,23 @@ def m05_delete_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def m06_detach_delete(spark: SparkSession, d: str) -> DataFrame:
     g = memory_graph(spark, d)
-    v, e = mutate.delete_vertices(g.vertices, g.edges, g.vertices.where("not active").select("id"), detach=True)
-    return e.select("edge_type", "src", "dst")
+    _, e, r = mutate.delete_vertices(g.vertices, g.edges, g.vertices.where("not active").select("id"), detach=True, relationships=g.relationships)
+    none = F.lit(None).cast("bigint").alias("relationship_id")
+    return e.select("edge_type", "src", "dst", none).unionByName(r.select("edge_type", "src", "dst", "relationship_id"))
+
+
+def m07_records(spark: SparkSession, d: str) -> DataFrame:
+    """Deleting edges takes their records along."""
+    g = memory_graph(spark, d)
+    _, r = mutate.delete_edges_with_records(g.edges, g.relationships, g.edges.where("edge_type = 'SUPERSEDES' and dst % 3 = 0"))
+    return r.select("relationship_id", "edge_type")
+
+
+def m10_merge_set(spark: SparkSession, d: str) -> DataFrame:
+    """MERGE of records by id with SET: known ones take the new cell where it is given, others are inserted."""
+    rows = table(spark, d, "edge_mutations").where(RAW).select(F.col("mutation_id").alias("relationship_id"), "edge_type", "src", "dst", "cell_id")
+    batch = rows.where("relationship_id % 3 = 0").withColumn("cell_id", F.when(F.col("relationship_id") % 2 == 0, F.concat(F.lit("moved-"), "cell_id")))
+    return mutate.merge_relationships(rows.where("relationship_id % 5 <> 0"), batch)
 
 
 def m09_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +94,7 @@ def m14_idempotent(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "edge_mutations").where(RAW)
     ledger = raw.where("cell_id = 'cell-04'").where("idempotency_key is not null").select("idempotency_key", F.sha2(F.to_json(F.struct("edge_type", "src", "dst")), 256).alias("digest")).distinct()
     fresh = mutate.idempotent(raw.select("idempotency_key", "edge_type", "src", "dst"), ledger, "idempotency_key", ["edge_type", "src", "dst"])
-    return fresh.groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"), F.count("idempotency_key").alias("keyed"))
+    return fresh
 
 
 def m18_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -100,9 +118,7 @@ def a10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a11_digest(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the digest's parts, which SQL can express; the checksums themselves are tested against a shuffled copy."""
-    e = memory_graph(spark, d).edges
-    return verify.digest(e).select("edge_type", "edges")
+    return verify.digest(memory_graph(spark, d).edges)
 
 
 def a12_edge_types(spark: SparkSession, d: str) -> DataFrame:
@@ -115,10 +131,10 @@ def x06_dangling(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x06_traversals(spark: SparkSession, d: str) -> DataFrame:
-    """Disagreements between levels and walks: none for sound traversals, so the expected result is empty."""
+    """Levels of breadth-first search and least lengths of walks side by side; they must be equal."""
     e = memory_graph(spark, d).edges
     starts = e.where("edge_type = 'SUPERSEDES' and src % 20 = 0").select(F.col("src").alias("v")).distinct()
-    return verify.traversal_check(e, "SUPERSEDES", starts, 3)
+    return verify.traversals(e, "SUPERSEDES", starts, 3)
 
 
 def x07_repairs(spark: SparkSession, d: str) -> DataFrame:
@@ -161,20 +177,24 @@ def r08_events(spark: SparkSession, d: str) -> DataFrame:
     return feeds.as_events(memory_graph(spark, d).edges.where("edge_type = 'HAS_ALIAS'"), "edge")
 
 
-NAMES = "m01_create m02_merge m03_set m04_labels m05_delete_edges m06_detach_delete m09_upsert m11_guarded m14_idempotent m18_outcome n18_labelled_ends a09_histogram a10_statistics a11_digest a12_edge_types x06_dangling x06_traversals x07_repairs u05_difference r01_daily_counts r02_latest r03_incremental r08_events"
+NAMES = "m01_create m02_merge m03_set m04_labels m05_delete_edges m06_detach_delete m07_records m09_upsert m10_merge_set m11_guarded m14_idempotent m18_outcome n18_labelled_ends a09_histogram a10_statistics a11_digest a12_edge_types x06_dangling x06_traversals x07_repairs u05_difference r01_daily_counts r02_latest r03_incremental r08_events"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _LIVE = f"select edge_type, src, dst, arg_max(mutation_id % 3 <> 0, mutation_id) as exists from edge_mutations where {RAW} group by all"
 _DEG = "select edge_type, src as vertex, count(distinct dst) as degree from edge_mutations where {} group by all"
+_SUM = "sum(('0x' || substr(sha256({0}), 1, 8))::bigint)::varchar"
 SQL = {
-    "m01_create": f"select edge_type, count(*) as n, count(*) as ids, count(*) filter (cell_id <> 'cell-00' or cell_id is null) as created from edge_mutations where {RAW} group by edge_type",
+    "m01_create": f"select edge_type, src, dst, mutation_id as record, (cell_id <> 'cell-00' or cell_id is null) as created from edge_mutations where {RAW}",
+    "m07_records": f"select mutation_id as relationship_id, edge_type from edge_mutations where {RAW} and not (edge_type = 'SUPERSEDES' and dst % 3 = 0)",
+    "m10_merge_set": f"""select mutation_id as relationship_id, edge_type, src, dst, case when mutation_id % 3 = 0 and mutation_id % 2 = 0 then coalesce('moved-' || cell_id, case when mutation_id % 5 <> 0 then cell_id end)
+when mutation_id % 5 <> 0 then cell_id end as cell_id from edge_mutations where {RAW} and (mutation_id % 5 <> 0 or mutation_id % 3 = 0)""",
     "m02_merge": f"""with o as (select edge_type, src, dst, min(mutation_id) as w from edge_mutations where {RAW} and cell_id = 'cell-00' group by all),
 n as (select edge_type, src, dst, max(mutation_id) as w from edge_mutations where {RAW} and (cell_id <> 'cell-00' or cell_id is null) group by all)
 select edge_type, src, dst, coalesce(n.w, o.w) as weight from o full join n using (edge_type, src, dst)""",
     "m03_set": "select id, case when context_id = 'ctx-04040404' then false else active end as active from vertices",
     "m04_labels": "select id, array_to_string(list_sort(case when not active then list_distinct(list_append(list_filter(coalesce(labels, []), lambda x: x <> 'Archived'), 'Hidden')) else labels end), ',') as labels from vertices",
     "m05_delete_edges": f"with {EDGES} select * from edges where not (edge_type = 'ABOUT' and dst % 3 = 0)",
-    "m06_detach_delete": f"with {EDGES}, g as (select id from vertices where not active) select * from edges where src not in (select id from g) and dst not in (select id from g)",
+    "m06_detach_delete": f"with {EDGES}, g as (select id from vertices where not active) select *, null::bigint as relationship_id from edges where src not in (select id from g) and dst not in (select id from g) union all select edge_type, src, dst, mutation_id from edge_mutations where {RAW} and src not in (select id from g) and dst not in (select id from g)",
     "m09_upsert": """with s as (select subject_id as id, max(context_id) as context_id from extracted_drafts where subject_id is not null group by 1)
 select coalesce(v.id, s.id) as id, array_to_string(list_sort(list_distinct(list_concat(coalesce(v.labels, []), case when s.id is null then [] else ['Subject'] end))), ',') as labels,
 coalesce(s.context_id, v.context_id) as context_id, v.active from vertices v full join s on s.id = v.id""",
@@ -182,18 +202,21 @@ coalesce(s.context_id, v.context_id) as context_id, v.active from vertices v ful
 n as (select fact_id, max(observed_at + question_id % 3 - 1) as t, arg_max(context_id, observed_at + question_id % 3 - 1) as c from scored_facts where observed_at is not null group by 1)
 select coalesce(o.fact_id, n.fact_id) as fact_id, case when o.fact_id is null then n.t else greatest(o.t, coalesce(n.t, o.t)) end as observed_at, case when o.fact_id is null then n.c else o.c end as context_id from o full join n on n.fact_id = o.fact_id""",
     "m14_idempotent": f"""with led as (select distinct idempotency_key as k from edge_mutations where {RAW} and cell_id = 'cell-04' and idempotency_key is not null),
-f as (select distinct edge_type, idempotency_key as k from edge_mutations where {RAW} and idempotency_key is not null and idempotency_key not in (select k from led)
-union all select edge_type, null from edge_mutations where {RAW} and idempotency_key is null) select edge_type, count(*) as n, count(k) as keyed from f group by edge_type""",
+f as (select distinct idempotency_key, edge_type, src, dst from edge_mutations where {RAW} and idempotency_key is not null and idempotency_key not in (select k from led))
+select * from f union all select idempotency_key, edge_type, src, dst from edge_mutations where {RAW} and idempotency_key is null""",
     "m18_outcome": "select 0::bigint as created, count(*) filter (id % 7 = 0) as deleted, count(*) filter (id % 7 <> 0 and id % 2 = 0 and active is distinct from true) as updated, count(*) filter (id % 7 <> 0 and not (id % 2 = 0 and active is distinct from true)) as unchanged from vertices",
     "n18_labelled_ends": f"with {EDGES} select * from edges where edge_type = 'ABOUT' and src in (select id from vertices where list_contains(labels, 'Fact')) and dst in (select id from vertices where list_contains(labels, 'Entity'))",
     "a09_histogram": """with h as (select 'context_id' as property, context_id as v, count(*) as n from vertices where context_id is not null group by all union all select 'active', active::varchar, count(*) from vertices where active is not null group by all)
 select property, sum(n)::bigint as rows, count(*) as distinct_values, max(n) as most_common from h group by property""",
     "a10_statistics": "select label, count(*) as n from (select unnest(labels) as label from vertices) group by label",
-    "a11_digest": f"with {EDGES} select edge_type, count(*) as edges from edges group by edge_type",
+    "a11_digest": f"""with {EDGES}, o as (select edge_type, src as v, count(*) as n from edges group by all), i as (select edge_type, dst as v, count(*) as n from edges group by all),
+e as (select edge_type, count(*) as edges, {_SUM.format("src || ',' || dst")} as edge_digest from edges group by 1) select e.*, a.out_digest, b.in_digest from e
+join (select edge_type, {_SUM.format("v || ',' || n")} as out_digest from o group by 1) a using (edge_type) join (select edge_type, {_SUM.format("v || ',' || n")} as in_digest from i group by 1) b using (edge_type)""",
     "a12_edge_types": f"select edge_type, count(*) as n from edge_mutations where {RAW} group by edge_type",
     "x06_dangling": f"""with {EDGES}, e as (select distinct edge_type, 'src' as "end", src as id from edges union all select distinct edge_type, 'dst', dst from edges)
 select edge_type, "end", count(*) as n from e where id not in (select id from vertices) group by all""",
-    "x06_traversals": "select id as v, true as by_levels, true as by_walks from vertices where false",
+    "x06_traversals": f"""with recursive {EDGES}, e as (select src, dst from edges where edge_type = 'SUPERSEDES'), w(v, hop) as (select distinct src, 0 from e where src % 20 = 0 union select e.dst, w.hop + 1 from w join e on e.src = w.v where w.hop < 3)
+select v, min(hop)::int as by_levels, min(hop)::int as by_walks from w where v not in (select src from e where src % 20 = 0) group by v""",
     "x07_repairs": f"""with s as ({_DEG.format(RAW + " and cell_id = 'cell-00'")}), a as ({_DEG.format(RAW)})
 select a.edge_type, a.vertex, coalesce(s.degree, 0) as stored, a.degree as actual from a left join s using (edge_type, vertex) where coalesce(s.degree, 0) <> a.degree""",
     "u05_difference": f"""with a as (select edge_type, src, dst from edge_mutations where {RAW} and cell_id = 'cell-00'), b as (select edge_type, src, dst from edge_mutations where {RAW} and (cell_id <> 'cell-00' or cell_id is null))

@@ -47,10 +47,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset, a scratch folder of this machine."""
+    """The shared folder named by spark.checkpoint.dir. Only a local master may leave it unset and gets a scratch folder of
+    this machine; on a cluster, whose executors don't share one, that raises."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get(CHECKPOINT_KEY)
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return context.getCheckpointDir()
 

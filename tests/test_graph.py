@@ -192,11 +192,11 @@ def test_deletes(spark):
     v = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
     e = edges_of(spark, [(1, 2)])
     gone = spark.createDataFrame([(3,), (None,)], "id bigint")
-    left, _ = mutate.delete_vertices(v, e, gone)
+    left, _, _ = mutate.delete_vertices(v, e, gone)
     assert rows(left) == [(1,), (2,)]
     with pytest.raises(Exception, match="has edges"):
         mutate.delete_vertices(v, e, spark.createDataFrame([(2,)], "id bigint"))[0].collect()
-    left, kept = mutate.delete_vertices(v, e, spark.createDataFrame([(2,)], "id bigint"), detach=True)
+    left, kept, _ = mutate.delete_vertices(v, e, spark.createDataFrame([(2,)], "id bigint"), detach=True)
     assert (rows(left), rows(kept)) == ([(1,), (3,)], [])
 
 
@@ -257,3 +257,54 @@ def test_property_kinds(spark):
     p = property_kind(F.col("t"), "$.k")
     got = [(r["kind"], r["text"]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(p["kind"].alias("kind"), p["text"].alias("text")).collect()]
     assert got == [("int", "24"), ("int", "2"), ("float", "2.5"), ("string", "x"), ("bool", "true"), ("json", "[1]"), (None, None), (None, None), (None, None)]
+
+
+def test_values_of_different_kinds(spark):
+    df = spark.createDataFrame([("1", 1, 2**53 + 1, float(2**53), True), ("abc", None, 3, 3.0, False)], "s string, i int, b bigint, d double, t boolean")
+    c = F.col
+    for on in (df, None):
+        got = df.select(
+            P.equal(c("s"), c("i"), on), P.unequal(c("s"), c("i"), on), P.equal(c("b"), c("d"), on), P.greater(c("b"), c("d"), on), P.less_equal(c("d"), c("b"), on),
+            P.equal(F.lit("abc"), F.lit(1), on), P.unequal(c("t"), c("d"), on), P.less(c("s"), F.lit("b"), on), P.equal(c("t"), F.lit(True), on), P.less(c("i"), c("b"), on),
+        ).collect()
+        assert [tuple(r) for r in got] == [(False, True, False, True, True, False, True, True, True, True), (False, False, True, False, True, False, True, True, False, False)]
+        for bad in (P.less(c("s"), F.lit(2), on), P.greater(c("t"), F.lit(False), on)):
+            with pytest.raises(Exception, match="no order"):
+                df.select(bad).collect()
+
+
+def test_known_kinds_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([("a", 1)], "k string, n bigint").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    plan = t.where(P.equal(F.col("k"), F.lit("a"), t))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,a)" in plan
+
+
+def test_deletes_take_records_along_and_merges_set_values(spark):
+    v = spark.createDataFrame([(1, []), (2, []), (3, [])], "id bigint, labels array<string>")
+    r = spark.createDataFrame([("T", 1, 2, 10, "a"), ("T", 1, 2, 11, "b"), ("T", 2, 3, 12, "c"), ("T", 3, 3, 13, None)], "edge_type string, src bigint, dst bigint, relationship_id bigint, w string")
+    e = r.select("edge_type", "src", "dst").distinct()
+    _, kept, records = mutate.delete_vertices(v, e, spark.createDataFrame([(2,)], "id bigint"), detach=True, relationships=r)
+    assert rows(kept, "src", "dst") == [(3, 3)] and rows(records, "relationship_id") == [(13,)]
+    kept, records = mutate.delete_edges_with_records(e, r, e.where("src = 1"))
+    assert rows(records, "relationship_id") == [(12,), (13,)]
+    batch = spark.createDataFrame([("T", 1, 2, 10, "z"), ("T", 1, 2, 11, None), ("T", 9, 9, 20, "n")], r.schema)
+    assert rows(mutate.merge_relationships(r, batch), "relationship_id", "w") == [(10, "z"), (11, "b"), (12, "c"), (13, None), (20, "n")]
+    with pytest.raises(Exception, match="other ends"):
+        mutate.merge_relationships(r, spark.createDataFrame([("T", 5, 2, 10, "z")], r.schema)).collect()
+
+
+def test_numbers_are_consecutive(spark, monkeypatch):
+    monkeypatch.setattr(mutate, "NUMBERED_ROWS", 3)
+    got = mutate.numbered(spark.range(500).withColumn("x", F.lit(None).cast("string")), ["id"], "n")
+    assert sorted(r["n"] for r in got.collect()) == list(range(1, 501))
+
+
+def test_scratch_tables_need_a_shared_folder_off_local(spark):
+    from types import SimpleNamespace
+
+    from graphloom.session import scratch_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="local-cluster[2,1,1024]", setCheckpointDir=None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_folder(SimpleNamespace(sparkContext=context))

@@ -161,3 +161,31 @@ def test_registered_queries_have_columns_that_match_their_sql():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 80
+
+
+def test_composite_ranking_over_four_channels(spark):
+    seeds = spark.createDataFrame(
+        [(1, 10, 0.9, 0.2, None, None, None, None), (1, 11, 0.4, None, None, None, None, None), (1, 12, 0.8, 0.9, 900_000, None, None, None), (1, 13, 0.7, 0.1, 50, None, None, None), (2, 14, 0.1, 0.1, None, None, None, None)],
+        "question_id bigint, fact_id bigint, semantic_score double, keyword_score double, observed_at bigint, superseded_at bigint, valid_from bigint, valid_to bigint",
+    )
+    about = spark.createDataFrame([(10, "e1"), (11, "e1"), (11, "e2"), (13, "e2"), (12, "e3")], "fact_id bigint, entity_id string")
+    asked_at = spark.createDataFrame([(1, 100)], "question_id bigint, asked_at bigint")
+    rows_of = retrieval.expanded(seeds, about, asked_at)
+    assert 12 not in {r["fact_id"] for r in rows_of.collect()}  # seen long after the question
+    terms = spark.createDataFrame([("e1", ["alma"]), ("e2", ["rome"])], "entity_id string, terms array<string>")
+    asked = spark.createDataFrame([(1, ["where", "rome"])], "question_id bigint, asked array<string>")
+    got = {(r["question_id"], r["fact_id"]): r for r in retrieval.composite(rows_of, terms, asked).collect()}
+    # Fact 11 shares an entity with each of the others; only e2 is named, by two facts.
+    assert got[1, 11]["structural_rank"] == 1 and got[1, 11]["entity_boost"] == 0.25 and got[1, 10]["entity_boost"] == 0.0
+    assert got[1, 11]["position"] == 1 and not got[1, 11]["abstains"]
+    expected = 1 / 63 + 1 / 61 + 1 / 61
+    assert abs(got[1, 11]["composite_score"] - expected) < 1e-12
+    assert got[2, 14]["abstains"]
+
+
+def test_frequent_terms_still_count(spark):
+    texts = spark.createDataFrame([(i, "graph memory" if i % 2 else "graph") for i in range(40)] + [(99, "the and"), (100, None)], "fact_id bigint, text string")
+    questions = spark.createDataFrame([(1, "the graph"), (2, "memory"), (3, ""), (4, None)], "question_id bigint, text string")
+    got = retrieval.keyword_matches(questions, texts).collect()
+    assert len([r for r in got if r["question_id"] == 1]) == 40 and len([r for r in got if r["question_id"] == 2]) == 20
+    assert 99 not in {r["fact_id"] for r in got}
