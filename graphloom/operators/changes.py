@@ -21,6 +21,10 @@ OPEN_END_SECONDS = 9999999999
 MILLISECONDS_FROM = 100_000_000_000
 
 
+#: Batches of a feed: about a billion rows each, four at least; each costs a pass over the keys resolved before it.
+LEAST_BATCHES, MOST_BATCHES, BATCH_ROWS = 4, 64, 1_000_000_000
+
+
 def canonical_key(key: Column) -> Column:
     """Lower-case ASCII letters and digits of a key; null where none is left."""
     kept = F.lower(F.regexp_replace(key, "[^A-Za-z0-9]", ""))
@@ -90,32 +94,29 @@ def apply_changes(
     values: Sequence[str] = (),
     base: DataFrame | None = None,
     delete: str = "DELETE",
-    batches: int = 4,
+    batches: int | None = None,
 ) -> DataFrame:
     """Current state after a change feed: keys + values of the newest change of each key, deleted keys left out.
 
     order: columns that order changes, most significant first (a unique last one makes ties defined: the greatest wins).
     base: earlier state with keys + values; its untouched rows are kept whole, repeats included. Repeated and
-    out-of-order changes are fine. Rows with a null key match each other (nulls are one key). Empty input gives base.
+    out-of-order changes are fine. batches: by default as many as the rows need. Rows with a null key match each other (nulls are one key). Empty input gives base.
     """
     values = list(values)
     keys = list(keys)
     slim = changes.select(*keys, *[F.col(c) for c in order if c not in keys], *[v for v in values if v not in keys and v not in order], action)
     slim = cut(slim)
-    first = order[0]
-    bounds = batch_bounds(slim, first, batches)
-    edges = [None, *bounds, None]
+    batches = batches or min(MOST_BATCHES, max(LEAST_BATCHES, slim.count() // BATCH_ROWS))
+    bounds = batch_bounds(slim, order[0], batches)
+    number = F.lit(0)
+    for i, low in enumerate(bounds, 1):
+        number = F.when(F.col(order[0]) > F.lit(low), i).otherwise(number)
+    # A folder for each batch, so that each step reads its own rows only; a missing time is in the oldest batch.
+    laid_out = cut(slim.withColumn("_batch", number), partition_by=["_batch"]) if bounds else slim.withColumn("_batch", F.lit(0))
     resolved: list[DataFrame] = []
     newest = F.struct(*order, *[v for v in values if v not in order], action)
-    for low, high in reversed(list(zip(edges, edges[1:]))):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (F.col(first) > F.lit(low))
-        if high is not None:
-            inside = inside & (F.col(first) <= F.lit(high))
-        if low is None:
-            inside = inside | F.col(first).isNull()
-        part = slim.where(inside)
+    for batch in reversed(range(len(bounds) + 1)):
+        part = laid_out.where(F.col("_batch") == batch)
         images = part.groupBy(*keys).agg(F.max(newest).alias("_image"))
         if resolved:
             images = _anti(images, _union(resolved).select(*keys), keys)
@@ -138,7 +139,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def current_drafts(drafts: DataFrame, batches: int = 4) -> DataFrame:
+def current_drafts(drafts: DataFrame, batches: int | None = None) -> DataFrame:
     """subject_id, predicate_key, draft_id of every key that has a value after all changes of extracted_drafts."""
     return apply_changes(
         draft_changes(drafts), ["subject_id", "predicate_key"], ["observed_at", "turn_index", "draft_id"], values=["draft_id"], batches=batches

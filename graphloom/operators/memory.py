@@ -99,6 +99,30 @@ def plan_edges(chunked: DataFrame, facts: DataFrame) -> DataFrame:
     return has_turn.unionByName(extracted).unionByName(stated).distinct()
 
 
+def plan_entities(resolved: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of entities: Entity nodes, Alias nodes of other spellings of a resolved entity, HAS_ALIAS from entity to
+    alias, and ABOUT from a fact to each entity that is named in its text.
+
+    resolved: (context_id, surface, entity_id, canonical) of mentions; facts: (context_id, draft_id, memory_text). A fact and
+    an entity meet on a word of the canonical name, then the whole name must be in the text, each of its words as a whole word.
+    """
+    known = resolved.where("entity_id is not null and surface is not null and context_id is not null").select("context_id", "surface", "entity_id", "canonical").distinct()
+    entity = F.concat(F.lit("entity:"), F.col("entity_id").cast("string"))
+    alias = F.concat(F.lit("alias:"), F.substring(F.sha2(F.concat_ws("\x00", "context_id", "surface"), 256), 1, 16))
+    other = known.where("surface <> canonical")
+    nodes = known.select(F.lit("Entity").alias("label"), "context_id", entity.alias("logical_key")).unionByName(other.select(F.lit("Alias").alias("label"), "context_id", alias.alias("logical_key"))).distinct()
+    aliased = other.select(F.lit("HAS_ALIAS").alias("edge_type"), "context_id", entity.alias("src_key"), alias.alias("dst_key"))
+    words = lambda of: F.array_distinct(F.filter(F.split(F.lower(of), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    names = known.select("context_id", "entity_id", F.lower("canonical").alias("name")).where("length(name) > 2").distinct()
+    # The longest word of a name is its rarest guess; one key a name keeps the join small.
+    longest = F.element_at(F.sort_array(F.transform(words(F.col("name")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), 1)["w"]
+    texts = facts.where("draft_id is not null and memory_text is not null").select("context_id", "draft_id", F.lower("memory_text").alias("text")).distinct()
+    met = texts.select("context_id", "draft_id", "text", F.explode(words(F.col("text"))).alias("word")).join(names.withColumn("word", longest), ["context_id", "word"])
+    named = met.where((F.instr(F.col("text"), F.col("name")) > 0) & (F.size(F.array_except(words(F.col("name")), words(F.col("text")))) == 0))
+    about = named.select(F.lit("ABOUT").alias("edge_type"), "context_id", F.concat(F.lit("fact:"), "draft_id").alias("src_key"), entity.alias("dst_key"))
+    return nodes, aliased.unionByName(about).distinct()
+
+
 def superseded(changes: DataFrame) -> DataFrame:
     """draft_id, superseded_at, kind: each change of a subject's attribute that a later one closes.
 

@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from graphloom.operators.traverse import adjacency, check_hops
 from graphloom.session import cut
@@ -31,19 +32,22 @@ def simple_paths(
     """source, target, nodes, rels, length, weight, cost of every path without repeated vertices.
 
     sources and targets: DataFrames with column v. Without targets a path may end anywhere. Missing weights count as 1,
-    missing costs as 0; paths over max_cost are left out. pairwise keeps pairs with source < target. Parallel edge rows
+    missing costs as 0, and sums of whole numbers stay whole; paths over max_cost are left out. pairwise keeps pairs with source < target. Parallel edge rows
     give a path each; `rels` holds relationship_id where the edges have one, else (edge_type, src, dst).
     """
     check_hops(1, max_len)
     steps = adjacency(edges, edge_types, direction)
     rel = F.struct(*[F.col(c) for c in ("edge_type", "src", "dst", "relationship_id") if c in steps.columns])
-    number = lambda name, default: F.coalesce(F.col(name).cast("double"), F.lit(default)) if name else F.lit(default)
-    steps = steps.select("a", "b", rel.alias("rel"), number(weight, 1.0).alias("w"), number(cost, 0.0).alias("c"))
+    number = lambda name, default: F.coalesce(F.col(name).cast(_number_type(steps, name)), F.lit(default)) if name else F.lit(default)
+    steps = steps.select("a", "b", rel.alias("rel"), number(weight, 1).alias("w"), number(cost, 0).alias("c"))
+    kinds = {c: steps.schema[c].dataType.simpleString().replace("int", "bigint").replace("bigbigint", "bigint") for c in ("w", "c")}
+    # A path over the limit may only be dropped early by what the hops that are left can't bring back.
+    least = min(0.0, float(steps.agg(F.min("c")).first()[0] or 0)) if max_cost is not None else 0.0
     ends = targets.select(F.col("v").alias("target")).distinct() if targets is not None else None
     near = _distance_to(steps, ends, max_len) if ends is not None else None
     paths = sources.select("v").where("v is not null").distinct().select(
         F.col("v").alias("source"), F.col("v").alias("last"), F.array("v").alias("nodes"), F.array().cast(f"array<{steps.schema['rel'].dataType.simpleString()}>").alias("rels"),
-        F.lit(0.0).alias("weight"), F.lit(0.0).alias("cost"),
+        F.lit(0).cast(kinds["w"]).alias("weight"), F.lit(0).cast(kinds["c"]).alias("cost"),
     )
     found = []
     for hop in range(1, max_len + 1):
@@ -52,6 +56,8 @@ def simple_paths(
             "source", F.col("b").alias("last"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"),
             (F.col("weight") + F.col("w")).alias("weight"), (F.col("cost") + F.col("c")).alias("cost"),
         )
+        if max_cost is not None:
+            paths = paths.where(F.col("cost") + (max_len - hop) * least <= max_cost)
         if near is not None:
             left = near.where(F.col("hops") <= max_len - hop).select(F.col("v").alias("last"))
             paths = paths.join(left, "last", "left_semi")
@@ -68,6 +74,10 @@ def simple_paths(
     return whole.select("source", "target", "nodes", "rels", "length", "weight", "cost")
 
 
+def _number_type(df: DataFrame, name: str) -> str:
+    return "bigint" if isinstance(df.schema[name].dataType, IntegralType) else "double"
+
+
 def _distance_to(steps: DataFrame, ends: DataFrame, most: int) -> DataFrame:
     """v, hops: least number of steps from v to any target, up to `most`."""
     seen = ends.select(F.col("target").alias("v"), F.lit(0).alias("hops"))
@@ -100,6 +110,18 @@ def fair_variants(paths: DataFrame, limit: int) -> DataFrame:
     return turns.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= limit)
 
 
+def load_relationships(paths: DataFrame, relationships: DataFrame, properties: list[str]) -> DataFrame:
+    """Paths with `path_rels`: an array of struct(edge_type, src, dst, relationship_id, properties...) in order; nulls for
+    records without a row. `rels` of the paths must carry relationship_id."""
+    keyed = paths.withColumn("_path", F.xxhash64("source", "target", "nodes", F.to_json("rels")))
+    each = keyed.select("_path", "source", F.posexplode("rels").alias("pos", "rel")).select("_path", "source", "pos", "rel.*")
+    joined = each.join(relationships.select("relationship_id", *properties), "relationship_id", "left")
+    fields = ["edge_type", "src", "dst", "relationship_id", *properties]
+    lists = joined.groupBy("source", "_path").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("_rels"))
+    lists = lists.withColumn("path_rels", F.transform("_rels", lambda r: F.struct(*[r[f].alias(f) for f in fields])))
+    return keyed.join(lists.drop("_rels"), ["source", "_path"]).drop("_path")
+
+
 def load_paths(paths: DataFrame, vertices: DataFrame, properties: list[str]) -> DataFrame:
     """Paths with `path_nodes`: an array of struct(id, properties...) in order; nulls for vertices without a row."""
     keyed = paths.withColumn("_path", F.xxhash64("source", "target", "nodes", F.to_json("rels")))

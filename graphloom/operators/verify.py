@@ -30,6 +30,12 @@ def label_counts(vertices: DataFrame) -> DataFrame:
     return vertices.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def property_counts(rows: DataFrame, *properties: str) -> DataFrame:
+    """property, value (as text), n: how many rows have each present value; one pass over the rows for all properties."""
+    pairs = F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("string").alias("value")) for p in properties])
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").groupBy("property", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def digest(edges: DataFrame) -> DataFrame:
     """edge_type, edges, edge_digest, out_digest, in_digest: order-free checksums of the edge set and its degree maps, the
     sums of 32 bits of SHA-256 of each entry as decimal text."""

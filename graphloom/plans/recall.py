@@ -118,6 +118,19 @@ def g08_plan_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("label", "context_id", "logical_key")
 
 
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions with the smallest mention of their plain surface as entity and that mention's spelling as canonical name."""
+    m = table(spark, d, "extracted_entities").where("context_id is not null and surface is not null").select("mention_id", "context_id", "surface", X.plain_surface(F.col("surface")).alias("plain"))
+    first = m.where("plain <> ''").groupBy("context_id", "plain").agg(F.min(F.struct("mention_id", "surface")).alias("f"))
+    return m.join(first, ["context_id", "plain"]).select("context_id", "surface", F.col("f.mention_id").alias("entity_id"), F.col("f.surface").alias("canonical"))
+
+
+def g08_plan_entities(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges = memory.plan_entities(_resolved(spark, d), table(spark, d, "extracted_drafts"))
+    none = F.lit(None).cast("string").alias("dst_key")
+    return nodes.select(F.col("label").alias("kind"), "context_id", F.col("logical_key").alias("key"), none).unionByName(edges.select(F.col("edge_type").alias("kind"), "context_id", F.col("src_key").alias("key"), "dst_key"))
+
+
 def g09_superseded(spark: SparkSession, d: str) -> DataFrame:
     return memory.superseded(draft_changes(table(spark, d, "extracted_drafts")))
 
@@ -159,7 +172,7 @@ def a13_facts_per_entity(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.facts_per_entity(memory_graph(spark, d).edges)
 
 
-NAMES = "f05_cosine f07_keyword f08_plain_surface f08_canonical_surface f09_terms f10_hashes f12_times f13_visible f18_spans f19_embedding g01_chunks g01_conflicts g02_judged g03_defaults g07_registry g08_plan_edges g08_plan_nodes g09_superseded g13_embeddings g17_expansion g18_bridges w02_ranks w05_fusion a13_facts_per_entity"
+NAMES = "f05_cosine f07_keyword f08_plain_surface f08_canonical_surface f09_terms f10_hashes f12_times f13_visible f18_spans f19_embedding g01_chunks g01_conflicts g02_judged g03_defaults g07_registry g08_plan_edges g08_plan_nodes g08_plan_entities g09_superseded g13_embeddings g17_expansion g18_bridges w02_ranks w05_fusion a13_facts_per_entity"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _OK = "case when {0} is not null and not isnan({0}) and {0} between 0 and 1 then {0} end"
@@ -203,6 +216,14 @@ union all select distinct 'EXTRACTED_FROM', context_id, 'fact:' || draft_id, 'tu
 union all select distinct 'STATED_BY', context_id, 'fact:' || draft_id, 'actor:' || actor_role from k where actor_role is not null""",
     "g08_plan_nodes": f"""with {_CHUNKS} select distinct 'Session' as label, context_id, 'session:' || r.s as logical_key from c where r.s is not null
 union all select distinct 'Turn', context_id, 'turn:' || record_id from c union all select distinct 'Fact', context_id, 'fact:' || draft_id from extracted_drafts where draft_id is not null""",
+    "g08_plan_entities": """with m as (select mention_id, context_id, surface, lower(trim(regexp_replace(surface, '\\s+', ' ', 'g'))) as plain from extracted_entities where context_id is not null and surface is not null),
+f as (select context_id, plain, arg_min(surface, mention_id) as canonical, min(mention_id) as entity_id from m where plain <> '' group by all),
+k as (select distinct m.context_id, surface, 'entity:' || entity_id as e, 'alias:' || sha256(m.context_id || chr(0) || surface)[1:16] as a, canonical from m join f using (context_id, plain)),
+t as (select distinct context_id, draft_id, lower(memory_text) as text from extracted_drafts where draft_id is not null and memory_text is not null)
+select distinct 'Entity' as kind, context_id, e as key, null::varchar as dst_key from k union all select distinct 'Alias', context_id, a, null from k where surface <> canonical
+union all select distinct 'HAS_ALIAS', context_id, e, a from k where surface <> canonical
+union all select distinct 'ABOUT', k.context_id, 'fact:' || draft_id, e from k join t using (context_id) where length(canonical) > 2 and contains(text, lower(canonical)) and len(list_filter(regexp_split_to_array(lower(canonical), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) > 0
+and list_has_all(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), list_filter(regexp_split_to_array(lower(canonical), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))""",
     "g09_superseded": f"""with {_CHANGES}, n as (select draft_id, lead(observed_at) over w as superseded_at, lead(action) over w as next_action from changes window w as (partition by subject_id, predicate_key order by observed_at, turn_index, draft_id))
 select draft_id, superseded_at, case when next_action = 'DELETE' then 'CORRECTION' else 'STATE_CHANGE' end as kind from n where superseded_at is not null""",
     "g13_embeddings": """with r as (select fact_id, model_version, min(embedding) as a, max(embedding) as z from fact_embeddings where fact_id is not null and model_version is not null and len(embedding) = 96

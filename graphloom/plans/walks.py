@@ -117,12 +117,22 @@ def t21_path_nodes(spark: SparkSession, d: str) -> DataFrame:
     return found.select("source", "target", "length", keys.alias("keys"))
 
 
+def t21_path_relationships(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of records with the records' own properties."""
+    r = memory_graph(spark, d).relationships
+    roots = r.where("edge_type = 'RELATES_TO' and src % 20 = 0").select(F.col("src").alias("v")).distinct()
+    found = paths_of.load_relationships(paths_of.simple_paths(r, "RELATES_TO", roots, max_len=2), r, ["cell_id"])
+    cells = F.array_join(F.transform("path_rels", lambda x: F.coalesce(x["cell_id"], F.lit("-"))), ">")
+    ids = F.array_join(F.transform("path_rels", lambda x: x["relationship_id"].cast("string")), ",")
+    return found.select("source", "target", ids.alias("rels"), cells.alias("cells"))
+
+
 def t25_neighbours_within(spark: SparkSession, d: str) -> DataFrame:
     g = memory_graph(spark, d)
     return neighbours_within(g.edges, "ABOUT", g.vertices.where("active").select(F.col("id").alias("v")))
 
 
-NAMES = "t01_walks t01_chain_walks t03_zero_hops t04_reach_count t05_reach_window t06_levels t08_edge_visits t09_overlay t10_paths t11_single_source t13_pairwise t16_max_cost t18_parallel_paths t19_fair_variants t21_path_nodes t25_neighbours_within"
+NAMES = "t01_walks t01_chain_walks t03_zero_hops t04_reach_count t05_reach_window t06_levels t08_edge_visits t09_overlay t10_paths t11_single_source t13_pairwise t16_max_cost t18_parallel_paths t19_fair_variants t21_path_nodes t21_path_relationships t25_neighbours_within"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 NEXT = """steps as (
@@ -186,5 +196,8 @@ select source, target, rank::int as rank, array_to_string(nodes, ',') as nodes,
     "t21_path_nodes": f"""with {EDGES}, {_SUPER} select p.source, p.target, p.length,
   coalesce(a.logical_key, '-') || '>' || coalesce(b.logical_key, '-') || case when p.length = 2 then '>' || coalesce(c.logical_key, '-') else '' end as keys
 from p left join vertices a on a.id = p.nodes[1] left join vertices b on b.id = p.nodes[2] left join vertices c on c.id = p.nodes[3] where p.length <= 2""",
+    "t21_path_relationships": """with s as (select src, dst, mutation_id as id, coalesce(cell_id, '-') as cell from edge_mutations where edge_type = 'RELATES_TO' and src is not null and dst is not null and src <> dst)
+select src as source, dst as target, id::varchar as rels, cell as cells from s where src % 20 = 0
+union all select a.src, b.dst, a.id || ',' || b.id, a.cell || '>' || b.cell from s a join s b on b.src = a.dst and b.dst <> a.src where a.src % 20 = 0""",
     "t25_neighbours_within": f"with {EDGES} select src, dst from edges where edge_type = 'ABOUT' and dst in (select id from vertices where active)",
 }

@@ -117,6 +117,14 @@ def a10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return verify.label_counts(table(spark, d, "vertices"))
 
 
+def a10_property_values(spark: SparkSession, d: str) -> DataFrame:
+    """Cardinality of property = value for vertices and edge records."""
+    g = memory_graph(spark, d)
+    of = lambda kind, df: df.withColumn("kind", F.lit(kind))
+    records = g.relationships.withColumn("cell", F.concat_ws("/", "edge_type", "cell_id")).where("cell_id is not null")
+    return of("vertex", verify.property_counts(g.vertices, "context_id", "active")).unionByName(of("edge", verify.property_counts(records, "cell")))
+
+
 def a11_digest(spark: SparkSession, d: str) -> DataFrame:
     return verify.digest(memory_graph(spark, d).edges)
 
@@ -177,7 +185,7 @@ def r08_events(spark: SparkSession, d: str) -> DataFrame:
     return feeds.as_events(memory_graph(spark, d).edges.where("edge_type = 'HAS_ALIAS'"), "edge")
 
 
-NAMES = "m01_create m02_merge m03_set m04_labels m05_delete_edges m06_detach_delete m07_records m09_upsert m10_merge_set m11_guarded m14_idempotent m18_outcome n18_labelled_ends a09_histogram a10_statistics a11_digest a12_edge_types x06_dangling x06_traversals x07_repairs u05_difference r01_daily_counts r02_latest r03_incremental r08_events"
+NAMES = "m01_create m02_merge m03_set m04_labels m05_delete_edges m06_detach_delete m07_records m09_upsert m10_merge_set m11_guarded m14_idempotent m18_outcome n18_labelled_ends a09_histogram a10_statistics a10_property_values a11_digest a12_edge_types x06_dangling x06_traversals x07_repairs u05_difference r01_daily_counts r02_latest r03_incremental r08_events"
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 
 _LIVE = f"select edge_type, src, dst, arg_max(mutation_id % 3 <> 0, mutation_id) as exists from edge_mutations where {RAW} group by all"
@@ -209,6 +217,9 @@ select * from f union all select idempotency_key, edge_type, src, dst from edge_
     "a09_histogram": """with h as (select 'context_id' as property, context_id as v, count(*) as n from vertices where context_id is not null group by all union all select 'active', active::varchar, count(*) from vertices where active is not null group by all)
 select property, sum(n)::bigint as rows, count(*) as distinct_values, max(n) as most_common from h group by property""",
     "a10_statistics": "select label, count(*) as n from (select unnest(labels) as label from vertices) group by label",
+    "a10_property_values": f"""select 'vertex' as kind, 'context_id' as property, context_id as value, count(*) as n from vertices where context_id is not null group by all
+union all select 'vertex', 'active', active::varchar, count(*) from vertices where active is not null group by all
+union all select 'edge', 'cell', edge_type || '/' || cell_id, count(*) from edge_mutations where {RAW} and cell_id is not null group by all""",
     "a11_digest": f"""with {EDGES}, o as (select edge_type, src as v, count(*) as n from edges group by all), i as (select edge_type, dst as v, count(*) as n from edges group by all),
 e as (select edge_type, count(*) as edges, {_SUM.format("src || ',' || dst")} as edge_digest from edges group by 1) select e.*, a.out_digest, b.in_digest from e
 join (select edge_type, {_SUM.format("v || ',' || n")} as out_digest from o group by 1) a using (edge_type) join (select edge_type, {_SUM.format("v || ',' || n")} as in_digest from i group by 1) b using (edge_type)""",

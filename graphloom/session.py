@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,15 +59,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def cut(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write df as a table in the shared folder, a folder for each value of `partition_by`, and read it back.
 
     The plan that made it is gone, so a lost executor costs a read and no recomputation, iterations keep small plans, and
     later joins know the table's size.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
