@@ -51,11 +51,12 @@ def connected_groups(pairs: DataFrame, src: str, dst: str, by: Sequence[str] = (
             *by, "x", F.coalesce("_r", "r").alias("r")
         )
     mapping = cut(mapping)
-    smallest = mapping.groupBy(*by, "r").agg(F.min("x").alias("group_id"))
-    smallest = smallest.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("r").alias("_r"), "group_id")
-    return mapping.join(smallest, _same(by, mapping) & (mapping["r"] == F.col("_r"))).select(
-        *by, F.col("x").alias("vertex_id"), "group_id"
-    )
+    smallest = mapping.groupBy(*by, "r").agg(F.min("x").alias("group_id"), F.count(F.lit(1)).alias("edges"))
+    smallest = smallest.select(*by, F.col("r").alias("x"), F.col("group_id").alias("r"), "edges")
+    # A giant group is named by a broadcast row, its vertices spread by their own id; the others meet by their root.
+    limit = max(HEAVY_EDGES, mapping.count() // HEAVY_SHARE)
+    ends = mapping.select(*by, F.col("r").alias("u"), F.col("x").alias("v"))
+    return _replace(ends, smallest, by, "u", limit).select(*by, F.col("v").alias("vertex_id"), F.col("u").alias("group_id"))
 
 
 def _same(by: list[str], df: DataFrame) -> Column:
