@@ -17,7 +17,8 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,6 +217,20 @@ class Transducer:
             yield rest
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary file to the executors once for each application, and give its name for local_copy()."""
+    sent = spark.sparkContext.__dict__.setdefault("_graphloom_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
+def local_copy(name: str) -> str:
+    """The executor's own copy of a shipped file."""
+    return SparkFiles.get(name)
+
+
 @lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
     """One transducer for each vocabulary file and Python worker."""
@@ -229,11 +244,11 @@ def encode_texts(
 
     Narrow: no shuffle. Rows with a null or repeated id are kept as they are. Extra columns are left out.
     """
-    path = os.path.join(folder or DEFAULT_FOLDER, f"{vocabulary}.tiktoken")
+    name = shipped(documents.sparkSession, os.path.join(folder or DEFAULT_FOLDER, f"{vocabulary}.tiktoken"))
     schema = T.StructType([documents.schema[id_column], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, pattern = transducer(path), regex.compile(WORD_PATTERN)
+        machine, pattern = transducer(local_copy(name)), regex.compile(WORD_PATTERN)
         for frame in frames:
             yield pd.DataFrame({id_column: frame[id_column], "ids": [machine.encode(t, pattern) for t in frame[text]]})
 
@@ -242,11 +257,11 @@ def encode_texts(
 
 def decode_texts(encoded: DataFrame, id_column: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """id_column, text from encode_texts' rows; an empty or null list gives an empty text."""
-    path = os.path.join(folder or DEFAULT_FOLDER, f"{vocabulary}.tiktoken")
+    name = shipped(encoded.sparkSession, os.path.join(folder or DEFAULT_FOLDER, f"{vocabulary}.tiktoken"))
     schema = T.StructType([encoded.schema[id_column], T.StructField("text", T.StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = transducer(path)
+        machine = transducer(local_copy(name))
         for frame in frames:
             yield pd.DataFrame({id_column: frame[id_column], "text": ["".join(machine.decode(ids if ids is not None else ())) for ids in frame["ids"]]})
 
