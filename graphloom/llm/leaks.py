@@ -95,6 +95,7 @@ def words(text: str) -> list[str]:
 
 
 
+@lru_cache(maxsize=1 << 18)
 def alike(a: str, b: str) -> bool:
     """Equal, or words with one edit up to six letters and two beyond; numbers must be equal."""
     if a == b:
