@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,10 +58,16 @@ END = regex.compile(
     rf"(?P<mark>[.!?…]+|[。！？｡؟۔।॥;]+)(?P<close>[{regex.escape(CLOSERS)}]*(?:\s?[»”])?[{regex.escape(CLOSERS)}]*)(?P<emoji>(?:[^\S\n]*{EMOJI}(?![\p{{L}}\p{{N}}]))*)"
     rf"|(?<=\s)(?P<only>{EMOJI}(?:[^\S\n]*{EMOJI})*)(?![\p{{L}}\p{{N}}])"
 )
+#: END for texts of ASCII alone.
+_PLAIN_EMOJI = r"(?:[:;=][-']?[)(DPp/|]+|<3)"
+PLAIN_END = re.compile(
+    rf"(?P<mark>[.!?]+|;+)(?P<close>[\"')\]}}]*)(?P<emoji>(?:[^\S\n]*{_PLAIN_EMOJI}(?![A-Za-z0-9]))*)|(?<=\s)(?P<only>{_PLAIN_EMOJI}(?:[^\S\n]*{_PLAIN_EMOJI})*)(?![A-Za-z0-9])"
+)
 SPACE_SCRIPT = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{N}\p{Latin}])[^\S\n]+(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{N}\p{Latin}])")
 UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-LEFT = regex.compile(rf"(?:{WORD}|(?<=\p{{L}})\.(?=\p{{L}}))+$")
+#: The word that ends at a place, matched backwards from there.
+LEFT = regex.compile(rf"(?r)(?:{WORD}|(?<=\p{{L}})\.(?=\p{{L}}))+")
 RIGHT = regex.compile(rf"[^\S\n]*[{regex.escape(OPENERS)}]*((?:{WORD}|(?<=\p{{L}})\.(?=\p{{L}}))+)")
 LABEL = regex.compile(r"^[^\S\n]*(?:\[\d{1,2}:\d{2}(?::\d{2})?\][^\S\n]*)?(?:[\p{L}\p{M}\p{N}_.'-]{1,30}(?:[^\S\n][\p{L}\p{M}\p{N}_.'-]{1,20})?(?::|>)(?=\s|$)[^\S\n]*|(?<=\])(?=\s))")
 MARKER = regex.compile(r"^[^\S\n]*(?:[-*•‣·+–—]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))[^\S\n]+")
@@ -95,6 +102,7 @@ QUOTING = regex.compile("[" + regex.escape("".join({*QUOTES, *QUOTES.values(), '
 GREEK = regex.compile(r"\p{Greek}")
 TIGHT = regex.compile(rf"[{regex.escape(OPENERS)}]*\p{{L}}")
 LOWER, UPPER = regex.compile(r"\p{Ll}+"), regex.compile(r"\p{Lu}+")
+ASCII_LOWER, ASCII_UPPER = string.ascii_lowercase.encode(), string.ascii_uppercase.encode()
 MARKS = regex.compile(r"[{}\[\]<>=|\\~^$#@_*/]")
 LINES = regex.compile(r"(?<=\n)")
 BREAK = regex.compile(r"\r?\n")
@@ -193,13 +201,18 @@ def _prefix(text: str) -> int:
     return at
 
 
+def _left(text: str):
+    return LEFT.match(text)
+
+
 def gaps(text: str, cased: bool) -> list[Gap]:
     """Candidate gaps of one paragraph in order."""
     prefix = _prefix(text)
     spans = sorted(quoted(text, prefix))
     out: list[Gap] = []
-    marks = list(END.finditer(text, prefix))
-    greek = bool(GREEK.search(text))
+    plain = text.isascii()
+    marks = list((PLAIN_END if plain else END).finditer(text, prefix))
+    greek = not plain and bool(GREEK.search(text))
     for m in marks:
         mark = m["mark"] or ""
         if ";" in mark and not greek:
@@ -214,27 +227,26 @@ def gaps(text: str, cased: bool) -> list[Gap]:
         spaced = end >= len(text) or text[end].isspace()
         after = text[end : end + 80].lstrip("\r\n") if text[end : end + 80].strip() else text[end:]
         raw = text[end : end + 4]
-        wide = bool(mark and mark[0] in "。！？｡") or bool(WIDE.match(raw[:1]))
+        wide = not plain and (bool(mark and mark[0] in "。！？｡") or bool(WIDE.match(raw[:1])))
         if not after.strip():
             continue
         if not spaced and not wide:
             if m["only"] or not TIGHT.match(after):
                 continue
-            left_word = LEFT.search(text[max(0, m.start() - 40) : m.start()])
+            left_word = _left(text[max(0, m.start() - 40) : m.start()])
             if not left_word or len(left_word[0]) < 3 or "." in left_word[0] or after[0] in CLOSERS:
                 continue
         here = text[max(0, m.start() - 40) : m.start()]
-        left = LEFT.search(here if mark else here.rstrip())
+        left = _left(here if mark else here.rstrip())
         a = left[0].lower() if left else ""
         r = RIGHT.match(after)
         b = r[1] if r else after.strip()[:1]
-        if WIDE.search(a):
-            a = a[-2:]
-        if WIDE.match(b):
-            b = b[:2]
+        if not plain:
+            a = a[-2:] if WIDE.search(a) else a
+            b = b[:2] if WIDE.match(b) else b
         b = "#" if b[:1].isdigit() else b
         if a.isdigit():
-            earlier = LEFT.search(here[: left.start()].rstrip(" .\xa0"))
+            earlier = _left(here[: left.start()].rstrip(" .\xa0"))
             a = f"{earlier[0].lower() if earlier else ''} #"
         shape = "digit" if b == "#" else "lower" if b[:1].islower() else "upper" if b[:1].isupper() else "other"
         if not cased and shape in ("lower", "upper"):
@@ -245,7 +257,7 @@ def gaps(text: str, cased: bool) -> list[Gap]:
         if closed:
             kind += ("(" if text[closed[0]] in "([（" else "q") + ("1" if closed[1] else "0")
         out.append(Gap(end, a, b.lower(), kind, shape, _seed(a, b, kind, shape, after)))
-    if UNSPACED.search(text):
+    if not plain and UNSPACED.search(text):
         for m in SPACE_SCRIPT.finditer(text, prefix):
             left, right = text[max(0, m.start() - 12) : m.start()], text[m.end() : m.end() + 4]
             if not (UNSPACED.search(left[-3:]) or UNSPACED.match(right)) or any(a < m.start() < b for a, b, _ in spans):
@@ -261,7 +273,7 @@ def gaps(text: str, cased: bool) -> list[Gap]:
         out.sort(key=lambda g: g.end)
     last = prefix
     for g in out:
-        g.words = len(text[last : g.end].split()) if not WIDE.search(text[last : g.end]) else (g.end - last + 1) // 2
+        g.words = len(text[last : g.end].split()) if plain or not WIDE.search(text[last : g.end]) else (g.end - last + 1) // 2
         last = g.end
     return out
 
@@ -365,7 +377,11 @@ def unmarked_gaps(part: str) -> list[tuple[int, int, list[int]]]:
 def _cased(text: str) -> bool:
     """Whether letter case tells anything in this text."""
     bare = text[_prefix(text) :]
-    low, up = len(bare) - len(LOWER.sub("", bare)), len(bare) - len(UPPER.sub("", bare))
+    if bare.isascii():
+        raw = bare.encode()
+        low, up = (len(raw) - len(raw.translate(None, letters)) for letters in (ASCII_LOWER, ASCII_UPPER))
+    else:
+        low, up = len(bare) - len(LOWER.sub("", bare)), len(bare) - len(UPPER.sub("", bare))
     return low > 0 and 0.005 * low < up < low
 
 
