@@ -278,7 +278,7 @@ def r09_newest(spark: SparkSession, d: str) -> DataFrame:
     place = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = feeds.table_stream(spark, d, "fact_embeddings").where("fact_id is not null and observed_at is not null").select("fact_id", "observed_at", "context_id")
     feeds.maintain_newest(stream, f"{place}/facts", f"{place}/progress", "fact_id", "observed_at")
-    return read_version(spark, f"{place}/facts").select("fact_id", "observed_at")
+    return feeds.current_newest(spark, f"{place}/facts", "fact_id", "observed_at").select("fact_id", "observed_at")
 
 
 NAMES = (

@@ -12,7 +12,6 @@ from graphloom.session import cut, scratch_folder
 from graphloom.sources.graph import memory_graph
 from graphloom.sources.tables import table
 from graphloom.streaming import feeds
-from graphloom.streaming.versions import read_version
 
 RAW = "src is not null and dst is not null and edge_type is not null"
 
@@ -164,14 +163,14 @@ def r02_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r03_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The newest version that a stream of changes has kept; equal to a full build."""
+    """The edges that a stream of changes has kept; equal to a full build."""
     import uuid
 
     place = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = feeds.table_stream(spark, d, "edge_mutations").where(RAW)
     changes = stream.select("edge_type", "src", "dst", F.col("mutation_id").alias("seq"), (F.col("mutation_id") % 3 != 0).alias("exists"))
     feeds.maintain_edges(changes, f"{place}/edges", f"{place}/progress")
-    return read_version(spark, f"{place}/edges").select("edge_type", "src", "dst")
+    return feeds.current_edges(spark, f"{place}/edges")
 
 
 def r01_daily_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -7,10 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.mutate import guarded_upsert
-from graphloom.operators.traverse import overlay
-from graphloom.streaming.versions import read_version, versions, write_version
-
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int = 8) -> DataFrame:
     """A table's files as a stream, in batches of a few files."""
@@ -24,33 +20,63 @@ def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], chec
     query.awaitTermination()
 
 
+def _write_batch(rows: DataFrame, root: str, number: int) -> None:
+    """The batch as its own folder; a replay of the batch replaces it, so nothing counts twice."""
+    rows.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+
 def maintain_edges(stream: DataFrame, root: str, checkpoint: str) -> None:
-    """Keep versions of the current edges (edge_type, src, dst) under `root` from a stream of changes with seq and exists.
+    """Keep the changes of edges (edge_type, src, dst, seq, exists) under `root`: of each batch the newest of an edge.
 
-    A batch's version number is its own, so a replay writes nothing new.
+    A batch costs its own rows only; current_edges() puts them together, compact_edges() folds old batches now and then.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        have = [v for v in versions(spark, root) if v < number]
-        base = read_version(spark, root, have[-1]) if have else batch.select("edge_type", "src", "dst").limit(0)
-        write_version(overlay(base, batch), root, number)
+        rows = batch.where("edge_type is not null and src is not null and dst is not null")
+        newest = rows.groupBy("edge_type", "src", "dst").agg(F.max(F.struct("seq", "exists")).alias("c"))
+        _write_batch(newest.select("edge_type", "src", "dst", "c.*"), root, number)
 
     run_batches(stream, apply, checkpoint)
 
 
-def maintain_newest(stream: DataFrame, root: str, checkpoint: str, key: str, guard: str, create_only: tuple[str, ...] = ()) -> None:
-    """Keep versions of a keyed table in which a row only gives way to one with a greater guard."""
+def _newest_changes(spark: SparkSession, root: str) -> DataFrame:
+    rows = spark.read.parquet(root)
+    return rows.groupBy("edge_type", "src", "dst").agg(F.max(F.struct("seq", "exists")).alias("c")).select("edge_type", "src", "dst", "c.*")
+
+
+def current_edges(spark: SparkSession, root: str) -> DataFrame:
+    """edge_type, src, dst that exist after all batches kept so far; the greatest seq of an edge counts."""
+    return _newest_changes(spark, root).where("exists").select("edge_type", "src", "dst")
+
+
+def compact_edges(spark: SparkSession, root: str, target: str) -> None:
+    """Write the newest change of each edge as one table of the same layout; readers then move to `target`. Deletions stay
+    until no later batch can hold an older change of their edge."""
+    _write_batch(_newest_changes(spark, root), target, 0)
+
+
+def maintain_newest(stream: DataFrame, root: str, checkpoint: str, key: str, guard: str) -> None:
+    """Keep the rows of a keyed table under `root`: of each batch the one with the greatest guard of a key."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        have = [v for v in versions(spark, root) if v < number]
-        base = read_version(spark, root, have[-1]) if have else batch.limit(0)
-        write_version(guarded_upsert(base, batch, key, guard, create_only), root, number)
+        others = [c for c in batch.columns if c not in (key, guard)]
+        newest = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(guard, *others)).alias("c"))
+        _write_batch(newest.select(key, "c.*"), root, number)
 
     run_batches(stream, apply, checkpoint)
 
 
+def current_newest(spark: SparkSession, root: str, key: str, guard: str, create_only: tuple[str, ...] = ()) -> DataFrame:
+    """The row of each key with the greatest guard; of equal guards the earlier batch counts. A missing value doesn't
+    replace an earlier one, and create_only columns keep their first value."""
+    rows = spark.read.parquet(root)
+    others = [c for c in rows.columns if c not in (key, guard, "batch")]
+    last = F.struct(guard, (-F.col("batch")).alias("b"))
+    first = F.struct((-F.col("batch")).alias("b"), guard)
+    pick = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), first if c in create_only else last)).alias(c)
+    return rows.groupBy(key).agg(F.max(guard).alias(guard), *[pick(c) for c in others])
+
+
 def windowed_counts(stream: DataFrame, time: str, by: str, every: str = "1 day", late: str = "2 days") -> DataFrame:
     """start, by, n: events of tumbling windows; rows later than the watermark are dropped by a running stream."""
     return (

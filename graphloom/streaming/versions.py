@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,12 +24,25 @@ def versions(spark: SparkSession, root: str) -> list[int]:
 
 def write_version(df: DataFrame, root: str, number: int | None = None, partition_by: tuple[str, ...] = ()) -> int:
     """Write df as the next (or the given) version. A given number that is already complete is left as it is, so a
-    replayed batch changes nothing."""
+    replayed batch changes nothing.
+
+    The rows are written aside and the folder is renamed when it is complete. Of two writers of one number the second
+    fails instead of replacing the first (the file system's rename must refuse an existing target).
+    """
     spark = df.sparkSession
     have = versions(spark, root)
+    asked = number
     number = number if number is not None else (have[-1] + 1 if have else 0)
-    if number not in have:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/v{number}")
+    if number in have:
+        return number
+    aside, target = f"{root}/_writing-{uuid.uuid4().hex}", f"{root}/v{number}"
+    df.write.partitionBy(*partition_by).parquet(aside)
+    source, fs = _files(spark, aside)
+    place, _ = _files(spark, target)
+    if fs.exists(place) or not fs.rename(source, place):
+        fs.delete(source, True)
+        if asked is None or number not in versions(spark, root):
+            raise RuntimeError(f"version {number} was published by another writer")
     return number
 
 

@@ -138,6 +138,19 @@ def test_versions(spark, tmp_path):
     assert versions(spark, root) == [2]
 
 
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    from graphloom.streaming import versions as module
+
+    root = str(tmp_path / "t")
+    write_version(spark.range(1), root)
+    seen = module.versions(spark, root)
+    write_version(spark.range(2), root)
+    monkeypatch.setattr(module, "versions", lambda *_: seen)  # a writer that looked before the other was done
+    with pytest.raises(RuntimeError, match="another writer"):
+        write_version(spark.range(3), root)
+    assert spark.read.parquet(f"{root}/v1").count() == 2
+
+
 def test_streamed_edges_equal_a_full_build_after_a_restart(spark, tmp_path):
     source = tmp_path / "edge_changes.parquet"
     schema = "edge_type string, src bigint, dst bigint, seq bigint, exists boolean"
@@ -145,7 +158,10 @@ def test_streamed_edges_equal_a_full_build_after_a_restart(spark, tmp_path):
     for i, batch in enumerate(batches):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
         feeds.maintain_edges(feeds.table_stream(spark, str(tmp_path), "edge_changes", 1), str(tmp_path / "edges"), str(tmp_path / "progress"))
-    assert rows(read_version(spark, str(tmp_path / "edges")), "src", "dst") == [(1, 2), (2, 3), (4, 5)]
+    assert rows(feeds.current_edges(spark, str(tmp_path / "edges")), "src", "dst") == [(1, 2), (2, 3), (4, 5)]
+    feeds.compact_edges(spark, str(tmp_path / "edges"), str(tmp_path / "compact"))
+    assert rows(feeds.current_edges(spark, str(tmp_path / "compact")), "src", "dst") == [(1, 2), (2, 3), (4, 5)]
+    assert spark.read.parquet(str(tmp_path / "compact")).count() == 3
 
 
 def test_streamed_newest_row(spark, tmp_path):
@@ -153,7 +169,7 @@ def test_streamed_newest_row(spark, tmp_path):
     for batch in ([(1, 5, "a")], [(1, 4, "older"), (2, 1, "b")], [(1, 6, "newer")]):
         spark.createDataFrame(batch, "id bigint, at bigint, name string").coalesce(1).write.mode("append").parquet(str(source))
         feeds.maintain_newest(feeds.table_stream(spark, str(tmp_path), "facts", 1), str(tmp_path / "state"), str(tmp_path / "progress"), "id", "at")
-    assert rows(read_version(spark, str(tmp_path / "state")), "id", "name") == [(1, "newer"), (2, "b")]
+    assert rows(feeds.current_newest(spark, str(tmp_path / "state"), "id", "at"), "id", "name") == [(1, "newer"), (2, "b")]
 
 
 def test_registered_queries_have_columns_that_match_their_sql():
