@@ -71,6 +71,21 @@ def _named(df: DataFrame, columns: Sequence[str], *more: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"_{c}") for c in columns], *more)
 
 
+def with_segments(rows: DataFrame, entity: Sequence[str], start: str, segments: int | None = None) -> DataFrame:
+    """rows with `segment`, a number that grows with `start`: 0 for entities with up to VERSION_EVERY rows, for longer ones
+    about so many rows each; or one of `segments` slices of time for every entity."""
+    slices = segments or SLICES
+    shares = [i / slices for i in range(1, slices)] or [0.5]
+    bounds = sorted(set(rows.agg(F.percentile_approx(start, shares, 10_000).alias("b")).first()["b"] or []))
+    if segments:
+        return rows.withColumn("segment", slice_of(F.col(start), bounds).cast("int"))
+    long = rows.groupBy(*entity).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > VERSION_EVERY)
+    long = _named(long.withColumn("_parts", F.least(F.lit(slices), F.ceil(F.col("n") / VERSION_EVERY))), entity, "_parts")
+    marked = rows.join(long, _same(rows, long, entity), "left")
+    segment = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.floor(slice_of(F.col(start), bounds) * F.col("_parts") / (len(bounds) + 1)))
+    return marked.withColumn("segment", segment.cast("int")).select(*rows.columns, "segment")
+
+
 def store_history(patches: DataFrame, entity: Sequence[str], attribute: Sequence[str], segments: int | None = None, open_end: int = OPEN_END_SECONDS) -> History:
     """Write patches (entity, attribute, start, own_end, value, removes) and checkpoints as tables.
 
@@ -79,18 +94,7 @@ def store_history(patches: DataFrame, entity: Sequence[str], attribute: Sequence
     entity, attribute = list(entity), list(attribute)
     keys = [*entity, *attribute]
     rows = cut(patches.where(F.col("start").isNotNull()).select(*keys, *PATCH))
-    slices = segments or SLICES
-    shares = [i / slices for i in range(1, slices)] or [0.5]
-    bounds = sorted(set(rows.agg(F.percentile_approx("start", shares, 10_000).alias("b")).first()["b"] or []))
-    if segments:
-        segment = slice_of(F.col("start"), bounds)
-        segmented = rows.withColumn("segment", segment.cast("int"))
-    else:
-        long = rows.groupBy(*entity).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > VERSION_EVERY)
-        long = _named(long.withColumn("_parts", F.least(F.lit(slices), F.ceil(F.col("n") / VERSION_EVERY))), entity, "_parts")
-        marked = rows.join(long, _same(rows, long, entity), "left")
-        segment = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.floor(slice_of(F.col("start"), bounds) * F.col("_parts") / (len(bounds) + 1)))
-        segmented = marked.withColumn("segment", segment.cast("int")).select(*keys, *PATCH, "segment")
+    segmented = with_segments(rows, entity, "start", segments)
     segmented = cut(segmented)
     own = segmented.select(*entity, "segment").distinct()
     spans = cut(own.withColumn("final", F.lead("segment").over(Window.partitionBy(*entity).orderBy("segment")).isNull()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import chunk_id, content_hash, parse_time, path_uuid
 from graphloom.operators.changes import OPEN_END_SECONDS
+from graphloom.operators.history import with_segments
 from graphloom.operators.mutate import numbered
 
 #: Fixed values of the data model: scopes, memory types and actions, and the defaults for missing ones.
@@ -126,13 +127,18 @@ def plan_entities(resolved: DataFrame, facts: DataFrame) -> tuple[DataFrame, Dat
 def superseded(changes: DataFrame) -> DataFrame:
     """draft_id, superseded_at, kind: each change of a subject's attribute that a later one closes.
 
-    A DELETE closes only what is known (CORRECTION); an ADD or UPDATE also ends validity (STATE_CHANGE). Histories of one
-    attribute are windows over its own rows; see operators.history for attributes with very long ones.
+    A DELETE closes only what is known (CORRECTION); an ADD or UPDATE also ends validity (STATE_CHANGE). A long history is
+    looked at in segments of time; the last change of a segment is closed by the first one of the key's next segment.
     """
-    w = Window.partitionBy("subject_id", "predicate_key").orderBy("observed_at", "turn_index", "draft_id")
-    nxt = changes.withColumn("superseded_at", F.lead("observed_at").over(w)).withColumn("_by", F.lead("action").over(w))
-    return nxt.where("superseded_at is not null").select(
-        "draft_id", "superseded_at", F.when(F.col("_by") == "DELETE", "CORRECTION").otherwise("STATE_CHANGE").alias("kind")
+    keys, order = ["subject_id", "predicate_key"], ["observed_at", "turn_index", "draft_id"]
+    rows = with_segments(changes.select(*keys, *order, "action"), keys, "observed_at")
+    change = F.struct(*order, "action")
+    inside = rows.withColumn("_next", F.lead(change).over(Window.partitionBy(*keys, "segment").orderBy(*order)))
+    firsts = rows.groupBy(*keys, "segment").agg(F.min(change).alias("_first"))
+    after = firsts.select(*keys, "segment", F.lead("_first").over(Window.partitionBy(*keys).orderBy("segment")).alias("_after")).where("_after is not null")
+    both = inside.join(after, [*keys, "segment"], "left").withColumn("_by", F.coalesce("_next", "_after"))
+    return both.where("_by is not null").select(
+        "draft_id", F.col("_by.observed_at").alias("superseded_at"), F.when(F.col("_by.action") == "DELETE", "CORRECTION").otherwise("STATE_CHANGE").alias("kind")
     )
 
 

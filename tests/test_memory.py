@@ -205,3 +205,13 @@ def test_frequent_terms_still_count(spark):
     got = retrieval.keyword_matches(questions, texts).collect()
     assert len([r for r in got if r["question_id"] == 1]) == 40 and len([r for r in got if r["question_id"] == 2]) == 20
     assert 99 not in {r["fact_id"] for r in got}
+
+
+def test_long_histories_are_closed_across_segments(spark, monkeypatch):
+    from graphloom.operators import history
+
+    monkeypatch.setattr(history, "VERSION_EVERY", 10)
+    items = [(1, "k", t, 0, f"d{t:03}", "DELETE" if t % 3 == 0 else "ADD") for t in range(60)] + [(2, "k", t, 0, f"e{t}", "ADD") for t in range(3)]
+    df = spark.createDataFrame(items, "subject_id bigint, predicate_key string, observed_at bigint, turn_index int, draft_id string, action string")
+    expected = [(f"d{t:03}", t + 1, "CORRECTION" if (t + 1) % 3 == 0 else "STATE_CHANGE") for t in range(59)] + [("e0", 1, "STATE_CHANGE"), ("e1", 2, "STATE_CHANGE")]
+    assert rows(memory.superseded(df), "draft_id", "superseded_at", "kind") == expected
