@@ -70,6 +70,15 @@ def test_vectors_leave_out_unusable_rows_and_break_ties_by_id(spark):
     assert rows(vectors.most_similar(facts(spark, [(1, True, v)]), 2, 3)) == []
 
 
+def test_survivors_below_the_score_give_no_frame():
+    import pandas as pd
+
+    row = np.ones(4, np.float32)
+    frame = pd.DataFrame({"id": [1], "other_id": [2], "x": [row.tobytes()], "y": [(-row).tobytes()], "least": [0.5]})
+    assert list(vectors._exact(iter([frame]))) == []
+    assert list(vectors._exact(iter([frame.assign(least=-1.0)])))[0]["others"].tolist() == [[2]]
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(50, 96)) * 0.2, rng.normal(size=(60, 96)) * 0.3
