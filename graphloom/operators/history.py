@@ -161,6 +161,8 @@ def _runs(frame: pd.DataFrame, ids: np.ndarray, keys: list[str], open_end: int)
     stop = np.minimum(nxt, own_end)
     holds = (has_next | frame["final"].to_numpy(bool)) & ~frame["removes"].fillna(False).to_numpy(bool)
     at = np.flatnonzero(holds)
+    if not len(at):  # a batch inside one group has no finished group, and groups that only remove have no period
+        return frame.iloc[:0][keys].assign(valid_from=start[:0], valid_to=stop[:0], value=frame["value"].iloc[:0], edge=has_next[:0])
     ids, start, stop = ids[at], start[at], stop[at]
     value = pd.factorize(frame["value"], use_na_sentinel=True)[0][at]
     new = np.ones(len(at), bool)

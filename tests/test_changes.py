@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -136,3 +137,24 @@ def test_slices_are_found_in_two_steps(spark):
     for bounds in ([], [5], list(range(0, 100, 7)), list(range(0, 1000, 3))):
         got = spark.range(0, 1100, 9).select("id", slice_of(F.col("id"), bounds).alias("s")).collect()
         assert all(r["s"] == sum(b < r["id"] for b in bounds) for r in got)
+
+
+def test_folding_batches_without_a_finished_period(spark):
+    from graphloom.operators.history import fold
+
+    def batch(entity, starts, removes=False):
+        n = len(starts)
+        fixed = {"a": ["x"] * n, "segment": [0] * n, "own_end": [None] * n, "value": [str(s) for s in starts], "removes": [removes] * n}
+        return pd.DataFrame({"e": [entity] * n, **fixed, "start": starts, "final": [True] * n, "alone": [True] * n})
+
+    def folded(*frames):
+        return [tuple(r) for out in fold(iter(frames), ["e", "a"], 99) for r in out[["e", "valid_from", "valid_to"]].itertuples(index=False)]
+
+    assert folded(batch(1, [1, 2]), batch(1, [5])) == [(1, 1, 2), (1, 2, 5), (1, 5, 99)]
+    assert folded(batch(1, [1]), batch(2, [3, 4], True)) == [(1, 1, 99)]
+    assert folded(batch(1, [1, 2], True), batch(2, [7])) == [(2, 7, 99)]
+    # One key with more changes than an Arrow batch (10,000 rows) has, and a key that is only removed.
+    df = spark.range(12_000).selectExpr("1L as e", "'x' as a", "id as start", "cast(null as bigint) as own_end", "cast(id as string) as value", "false as removes")
+    df = df.unionByName(df.where("start < 3").withColumn("e", F.lit(2)).withColumn("removes", F.lit(True)))
+    got = validity_periods(df, ["e", "a"], segments=1)
+    assert got.where("e = 1").count() == 12_000 and got.where("e = 2").count() == 0
