@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from graphloom.functions.text import entity_terms, keyword_score
 #: Fixed values of the ranking: the constant of rank fusion, over-fetch, abstention thresholds, sibling weights.
 FUSION = 60
 SIBLING_PENALTY, SIBLING_SHARE, SIBLINGS = 0.1, 0.80, 20
+#: Facts and anchors that meet in a task, and numbers of a matrix of their scores (16 MB).
+SIBLING_ROWS, SIBLING_SCORES = 4_096, 2_097_152
 
 
 def over_fetch(top_k: int) -> int:
@@ -170,6 +174,67 @@ def siblings(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     near = facts.join(anchors.select(*key, F.col("fact_id").alias("anchor_id"), F.col("q_cos").alias("anchor_cos")), [*key, "anchor_id"])
     near = near.withColumn("score", F.col("q_cos") - SIBLING_PENALTY * (1 - F.col("a_cos"))).where(F.col("score") > SIBLING_SHARE * F.col("anchor_cos"))
     near = near.join(anchors.select("question_id", "fact_id"), ["question_id", "fact_id"], "left_anti")
-    best = near.groupBy("question_id", "fact_id").agg(F.max("score").alias("score"))
+    return _most_siblings(near.groupBy("question_id", "fact_id").agg(F.max("score").alias("score")))
+
+
+def _most_siblings(best: DataFrame) -> DataFrame:
     w = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "fact_id")
     return best.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= SIBLINGS).drop("_rn")
+
+
+def siblings_by_vector(anchors: DataFrame, facts: DataFrame) -> DataFrame:
+    """What siblings() gives, with all cosines (rounded to nine decimals) taken from the vectors.
+
+    anchors: (question_id, fact_id, context_id, source_chunk_id, vector, asked: the question's vector, probe: a fact that is
+    no sibling, or null); facts: (fact_id, context_id, source_chunk_id, vector), one row each. Facts and anchors of a chunk
+    meet in a grid of blocks as matrix products; only the best of each question in a block leave it, never pairs of vectors.
+    """
+    key = ["context_id", "source_chunk_id"]
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / SIBLING_ROWS).cast("int").alias(name))
+    grid = blocks(anchors, "as").join(blocks(facts, "fs"), key)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = anchors.join(grid, key).select(*key, part("question_id", "as").alias("a"), each("fs").alias("f"), "question_id", "fact_id", "vector", "asked", "probe")
+    holds = facts.join(grid, key).select(*key, each("as").alias("a"), part("fact_id", "fs").alias("f"), "fact_id", "vector")
+    met = asks.unionByName(holds, allowMissingColumns=True).groupBy(*key, "a", "f")
+    return _most_siblings(met.applyInPandas(_block_siblings, "question_id bigint, fact_id bigint, score double"))
+
+
+def _units(column: pd.Series) -> np.ndarray:
+    rows = np.stack(column).astype(np.float64)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _block_siblings(frame: pd.DataFrame) -> pd.DataFrame:
+    """The best siblings of each question among the facts of a block; all anchors of a question in the chunk are in it."""
+    asks = frame[frame["question_id"].notna()].sort_values("question_id")
+    holds = frame[frame["question_id"].isna()].sort_values("fact_id")
+    out: list[tuple] = []
+    ids, questions = holds["fact_id"].to_numpy(np.int64), asks["question_id"].to_numpy(np.int64)
+    y = _units(holds["vector"]).T if len(ids) else None
+    first = np.flatnonzero(np.r_[True, questions[1:] != questions[:-1]]) if len(asks) else np.empty(0, np.int64)
+    step = max(1, SIBLING_SCORES // max(1, len(ids)))
+    while len(first) and len(ids):
+        # Whole questions, at least one.
+        at, stop = first[0], first[np.searchsorted(first, first[0] + step)] if first[-1] >= first[0] + step else len(asks)
+        mine, first = first[first < stop] - at, first[first >= stop]
+        rows = asks.iloc[at:stop]
+        anchors, asked = _units(rows["vector"]), _units(rows["asked"])
+        score = np.round(asked @ y, 9) - SIBLING_PENALTY * (1 - np.round(anchors @ y, 9))
+        least = SIBLING_SHARE * np.round(np.einsum("ij,ij->i", anchors, asked), 9)
+        score[score <= least[:, None]] = -np.inf
+        best = np.maximum.reduceat(score, mine, axis=0)
+        own = np.repeat(np.arange(len(mine)), np.diff(np.r_[mine, len(rows)]))
+        for column in ("fact_id", "probe"):
+            known = rows[column].notna().to_numpy()
+            left_out = rows[column][known].to_numpy(np.int64)
+            place = np.minimum(np.searchsorted(ids, left_out), len(ids) - 1)
+            hit = ids[place] == left_out
+            best[own[known][hit], place[hit]] = -np.inf
+        take = min(SIBLINGS, len(ids))
+        kth = np.partition(best, len(ids) - take, axis=1)[:, len(ids) - take]
+        for i, question in enumerate(questions[at + mine].tolist()):
+            j = np.flatnonzero((best[i] >= kth[i]) & (best[i] > -np.inf))
+            j = j[np.lexsort((j, -best[i][j]))][:SIBLINGS]
+            out += [(question, f, s) for f, s in zip(ids[j].tolist(), best[i][j].tolist())]
+    return pd.DataFrame(out, columns=["question_id", "fact_id", "score"])

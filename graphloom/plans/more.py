@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import dot, entity_terms, unit
+from graphloom.functions.text import entity_terms
 from graphloom.operators import memory, mutate, paths, resolution, retrieval, scan
 from graphloom.operators.changes import draft_changes
 from graphloom.operators.match import Match, parallel_edges, union, window
@@ -16,7 +16,7 @@ from graphloom.plans.feeds import _CHANGES
 from graphloom.plans.lookups import EDGES
 from graphloom.plans.recall import _SCORED, _scored
 from graphloom.plans.writes import RAW, _halves
-from graphloom.session import scratch_folder
+from graphloom.session import cut, scratch_folder
 from graphloom.sources.graph import memory_graph
 from graphloom.sources.tables import table
 from graphloom.streaming import feeds
@@ -98,17 +98,11 @@ def a14_best_sibling(spark: SparkSession, d: str) -> DataFrame:
 
     The probe's vector is the question's; the context stands for the source chunk, as few chunks here have two facts.
     """
-    facts = _facts(spark, d).select("fact_id", unit(F.col("vector")).alias("vector"), "context_id", F.lit("all").alias("source_chunk_id"))
+    facts = cut(_facts(spark, d).select("fact_id", "vector", "context_id", F.lit("all").alias("source_chunk_id")))
     log = table(spark, d, "scored_facts").where("question_id is not null").groupBy("question_id").agg(F.min("probe_fact_id").alias("probe"))
-    asked = log.join(facts.select(F.col("fact_id").alias("probe"), F.col("vector").alias("q")), "probe")
+    asked = log.join(facts.select(F.col("fact_id").alias("probe"), F.col("vector").alias("asked")), "probe")
     best = retrieval.channel_ranks(_scored(spark, d), "semantic_score", "rank", most=3).select("question_id", "fact_id")
-    cos = lambda a, b: F.round(dot(F.col(a), F.col(b)), 9)
-    anchors = best.join(facts, "fact_id").join(asked, "question_id").withColumn("q_cos", cos("vector", "q"))
-    around = anchors.select("question_id", "probe", "q", "context_id").dropDuplicates(["question_id", "context_id"]).join(facts, "context_id").where("fact_id <> probe")
-    around = around.repartition("question_id", "fact_id").withColumn("q_cos", cos("vector", "q")).drop("q", "probe")
-    near = around.join(anchors.select("question_id", "context_id", F.col("fact_id").alias("anchor_id"), F.col("vector").alias("anchor")), ["question_id", "context_id"])
-    near = near.withColumn("a_cos", cos("vector", "anchor")).drop("vector", "anchor")
-    out = retrieval.siblings(anchors.select("question_id", "fact_id", "context_id", "source_chunk_id", "q_cos"), near)
+    out = retrieval.siblings_by_vector(best.join(facts, "fact_id").join(asked, "question_id"), facts)
     return out.select("question_id", "fact_id", F.round("score", 6).alias("score"))
 
 

@@ -102,6 +102,48 @@ def test_siblings(spark):
     assert rows(retrieval.siblings(anchors, facts), "fact_id", "score") == [(11, pytest.approx(0.74))]
 
 
+def test_siblings_by_vector_agree_with_pairs_and_shuffle_none(spark, monkeypatch):
+    import numpy as np
+
+    from graphloom.functions.text import dot, unit
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(4, 6))
+    facts = [(i, "c" if i % 3 else "d", "all", [float(x) for x in base[i % 4] + 0.4 * rng.normal(size=6)]) for i in range(90)]
+    facts[7] = (7, "c", "all", facts[8][3])  # a tie
+    facts.append((90, None, "all", facts[0][3]))
+    facts = spark.createDataFrame(facts, "fact_id bigint, context_id string, source_chunk_id string, vector array<float>")
+    asked = [(q, f, [float(x) for x in base[q % 4]], 10 * q if q else None) for q in range(9) for f in (q, q + 20, q + 33, 90)]
+    asked = spark.createDataFrame(asked, "question_id bigint, fact_id bigint, asked array<float>, probe bigint")
+    anchors = asked.join(facts, "fact_id")
+    cos = lambda a, b: F.round(dot(unit(F.col(a)), unit(F.col(b))), 9)
+    pairs = anchors.withColumnsRenamed({"fact_id": "anchor_id", "vector": "anchor"}).join(facts, ["context_id", "source_chunk_id"]).where("probe is null or fact_id <> probe")
+    pairs = pairs.withColumn("q_cos", cos("asked", "vector")).withColumn("a_cos", cos("anchor", "vector")).drop("asked", "anchor", "vector", "probe")
+    want = rows(retrieval.siblings(anchors.withColumn("q_cos", cos("asked", "vector")), pairs).withColumn("score", F.round("score", 9)))
+    monkeypatch.setattr(retrieval, "SIBLINGS", 7)
+    fewer = rows(retrieval.siblings(anchors.withColumn("q_cos", cos("asked", "vector")), pairs).withColumn("score", F.round("score", 9)))
+    for size, scores in ((4_096, 2_097_152), (8, 60)):
+        monkeypatch.setattr(retrieval, "SIBLING_ROWS", size)
+        monkeypatch.setattr(retrieval, "SIBLING_SCORES", scores)
+        for most, expected in ((20, want), (7, fewer)):
+            monkeypatch.setattr(retrieval, "SIBLINGS", most)
+            assert rows(retrieval.siblings_by_vector(anchors, facts).withColumn("score", F.round("score", 9))) == expected
+    assert len(want) > len(fewer) > 40
+    assert rows(retrieval.siblings_by_vector(anchors, facts.limit(0))) == []
+    frame = anchors.unionByName(facts, allowMissingColumns=True).where("context_id = 'c'").toPandas()
+    whole = retrieval._block_siblings(frame)
+    monkeypatch.setattr(retrieval, "SIBLING_SCORES", 2_097_152)
+    assert len(whole) and retrieval._block_siblings(frame).equals(whole)
+
+
+def test_best_sibling_query_sends_no_pairs(spark):
+    from graphloom.plans import more
+
+    plan = more.a14_best_sibling(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # Before, a row of two vectors was shuffled for each question and fact of a context.
+    assert "FlatMapGroupsInPandas" in plan and "RepartitionByExpression" not in plan
+
+
 def test_bridges_count_paths_without_pairs(spark):
     e = spark.createDataFrame([("ABOUT", f, e) for f, e in [(1, 9), (2, 9), (3, 9), (3, 8), (4, 7)]], "edge_type string, src bigint, dst bigint")
     seeded = spark.createDataFrame([(1, f) for f in (1, 2, 3, 4)], "question_id bigint, fact_id bigint")
