@@ -61,6 +61,31 @@ def test_vectors_without_clusters_are_exact(spark, monkeypatch):
     assert got == brute(ids, matrix.astype(np.float64), 10)
 
 
+def test_groups_of_close_vectors_keep_almost_all_pairs_apart():
+    rng = np.random.default_rng(8)
+    sizes = np.r_[rng.integers(4, 30, 40), 300, np.ones(20, int)]
+    x = np.repeat(rng.normal(size=(len(sizes), 96)), sizes, axis=0) + 0.3 * rng.normal(size=(sizes.sum(), 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[rng.permutation(len(x))]
+    group = vectors.close_groups(x.astype(np.float32))
+    assert (group < 0).sum() == 20 and len(set(group[group >= 0])) == 41
+    order = np.argsort(group, kind="stable")[20:]
+    x, group = x[order], group[order]
+    starts = np.r_[np.flatnonzero(np.diff(group, prepend=-1)), len(x)].astype(np.int32)
+    cos = x @ x.T
+    kth = np.sort(cos, axis=1)[:, -4].round(9)
+    entered = np.full((len(x), 3), -1, np.int32)
+    entered[:, 1] = np.arange(len(x)) % 2
+    entered[:, 0] = 7
+    centres, radii, reach, common = vectors.group_bounds(x, kth, entered, starts)
+    near = vectors.near_groups(centres, reach, centres, radii)
+    own = np.repeat(np.arange(len(centres)), np.diff(starts))
+    assert near[own][:, own][cos >= kth[:, None]].all(), "a pair that counts is never left out"
+    assert near.mean() < 0.05 and (common[:, 0] == 7).all() and (common[:, 1:] == -1).all()
+    # Without a k-th score nothing is left out.
+    assert vectors.near_groups(centres, vectors.group_bounds(x, np.full(len(x), -2.0), entered, starts)[2], centres, radii).all()
+
+
 def test_vectors_leave_out_unusable_rows_and_break_ties_by_id(spark):
     v = [1.0, 0.0, 0.0]
     items = [(1, True, v), (1, True, v), (4, True, [2.0, 0.0, 0.0]), (3, True, v), (2, True, [0.0, 1e30, 1e-30]), (9, False, v), (10, True, None), (11, True, []), (12, True, [0, 0, 0]), (13, True, [float("nan"), 1, 1]), (14, True, [float("inf"), 1, 1]), (None, True, v), (15, None, v)]
