@@ -86,6 +86,19 @@ def test_groups_of_close_vectors_keep_almost_all_pairs_apart():
     assert vectors.near_groups(centres, vectors.group_bounds(x, np.full(len(x), -2.0), entered, starts)[2], centres, radii).all()
 
 
+def test_tiles_keep_what_counts_with_a_cheap_bound_on_the_score():
+    rng = np.random.default_rng(9)
+    low = rng.normal(size=(40, 1003)).astype(np.float32)
+    low[:5, :500] = 2  # ties
+    kth = np.sort(low, axis=1)[:, -10]
+    got = vectors._kth_at_least(low, 10)
+    assert (got <= kth).all() and (low >= got[:, None]).sum(1)[5:].max() <= 30
+    assert (vectors._kth_at_least(low[:, :30], 10) == np.sort(low[:, :30], axis=1)[:, -10]).all()
+    x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(50, 96)), rng.normal(size=(70, 96))))
+    score, bound = vectors.Tile(y.astype(np.float32), y[0].astype(np.float32)).scores(x.astype(np.float32))
+    assert (np.abs(score - x @ y.T) <= bound).all()
+
+
 def test_vectors_leave_out_unusable_rows_and_break_ties_by_id(spark):
     v = [1.0, 0.0, 0.0]
     items = [(1, True, v), (1, True, v), (4, True, [2.0, 0.0, 0.0]), (3, True, v), (2, True, [0.0, 1e30, 1e-30]), (9, False, v), (10, True, None), (11, True, []), (12, True, [0, 0, 0]), (13, True, [float("nan"), 1, 1]), (14, True, [float("inf"), 1, 1]), (None, True, v), (15, None, v)]
